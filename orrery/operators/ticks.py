@@ -75,7 +75,7 @@ def order_size(t: DataFrame) -> DataFrame:
 
 def rhythm(t: DataFrame) -> DataFrame:
     """Gaps between a window's events in ms; a burst is a gap below a tenth of the mean; similar sizes differ by at most a tenth from the row before, a run has three or more."""
-    ms = F.expr("unix_micros(cast(ts as timestamp)) / 1000.0")
+    ms = F.expr("cast(unix_micros(cast(ts as timestamp)) as double) / 1000")
     w = W.partitionBy(*KEY).orderBy("ts", "id")
     x = t.withColumn("ms", ms).withColumn("gap", F.col("ms") - F.lag("ms").over(w))
     x = x.withColumn("side_gap", F.col("ms") - F.lag("ms").over(W.partitionBy(*KEY, "side").orderBy("ts", "id")))
