@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -39,11 +40,13 @@ for _p in SEEN_HAN:
     HAN.setdefault(_p[0], []).append(_p[1])
 MASK = (1 << TABLE_BITS) - 1
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-WORD = regex.compile(rf"[{LETTER}]+")
+WORD = re.compile(rf"[{LETTER}]+")
+ROUGH = re.compile(rf"[{LETTER}0-9!]+")
+ROUGH_FIGURE = re.compile(r"\d[,.]?[OolISBZ!]|[OolISBZ!][,.]?\d")
 SEEN = regex.compile(rf"(?<![\w\\#=&/.@-])(?=[^\s]*[{LETTER}])[{LETTER}](?:[{LETTER}0-9]|!(?=[{LETTER}]))+(?![\w=(/@])|(?<![\w\\#=&/.@-])[01!](?:[{LETTER}]|[01!](?=[{LETTER}]))*[{LETTER}]{{2,}}(?![\w=(/@])")
 FIGURE = regex.compile(r"(?<![A-Za-z0-9_#=.,\\{/-])(?=[0-9A-Za-z!,.|]*\d)(?=[0-9,.]*[OolISBZ!])[0-9OolISBZ!]+(?:[,.][0-9OolISBZ!]+)*(?![A-Za-z0-9_=({])")
 MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
-HAN_RUN = regex.compile(f"[{''.join(sorted(HAN))}]")
+HAN_RUN = re.compile(f"[{''.join(sorted(HAN))}]")
 MARKS = "-‐‑¬\xad"
 DIVIDED = regex.compile(rf"([{LETTER}]+)([{MARKS}])[ \t]*\r?\n[ \t]*([{LETTER}]+)")
 D = r"[0-9OolISBZ!]"
@@ -93,12 +96,11 @@ TAIL = r"[\s　]+[0-9OolISBZ!]{1,4}$"
 
 def strip_lines(items: DataFrame) -> DataFrame:
     """(item_table, item_id, strips): folded strips of the items that hold any."""
-    x = items.select("item_table", "item_id", "doc_id", "type", F.explode(F.split("text", "\r?\n")).alias("line"))
+    x = items.where(~F.col("type").isin("heading", "table") | F.col("type").isNull()).select("item_table", "item_id", "doc_id", F.explode(F.filter(F.split("text", "\n"), lambda y: F.length(y).between(4, 90))).alias("line"))
     x = x.withColumn("line", F.regexp_replace(F.regexp_replace("line", "<[^<>]*>", ""), r"^[\s　]+|[\s　]+$", "")).where(F.length("line").between(4, 60) & ~F.col("line").rlike(r"^[|!<=#\\{\[*>&`~+-]|[。，；：,;:|}\]>]$|[.](?:$|\s)|^[\d\s.,%·/-]+$|^Page \d|^第\s*\d+\s*页"))
-    x = x.where(~F.col("type").isin("heading", "table") | F.col("type").isNull())
-    full = x.withColumn("key", folded(F.col("line")))
-    cut = x.where(F.col("line").rlike(TAIL)).withColumn("key", folded(F.regexp_replace("line", TAIL, "")))
-    lines = full.unionByName(cut).select("item_table", "item_id", "doc_id", "key").distinct().where(F.length("key") >= 4)
+    cut = F.when(F.col("line").rlike(TAIL), F.regexp_replace("line", TAIL, ""))
+    lines = x.select("item_table", "item_id", "doc_id", F.explode(F.array_compact(F.array(F.col("line"), cut))).alias("line"))
+    lines = lines.select("item_table", "item_id", "doc_id", folded(F.col("line")).alias("key")).distinct().where(F.length("key") >= 4)
     often = lines.where("item_table = 'doc_blocks'").groupBy("doc_id", "key").agg(F.count("*").alias("n")).where(F.col("n") >= STRIP).select("doc_id", "key")
     return lines.join(often, ["doc_id", "key"]).groupBy("item_table", "item_id").agg(F.collect_set("key").alias("strips"))  # at most an item's own lines
 
@@ -176,6 +178,8 @@ class Channel:
         self.total = float(max(1, int(self.words.sum(dtype=np.uint64))))
         self.count = functools.lru_cache(300_000)(lambda w: int(self.words[word_at(w)]))
         self.candidates = functools.lru_cache(100_000)(self._candidates)
+        self.suspicious = functools.lru_cache(300_000)(self._suspicious)
+        self.doubtful = functools.lru_cache(300_000)(self._doubtful)
 
     def _candidates(self, seen: str) -> tuple[tuple[str, float], ...]:
         """Written forms of a word with the log probability of seeing it so; the word itself first."""
@@ -240,8 +244,7 @@ class Channel:
     def repair_line(self, line: str) -> str:
         """The line as written."""
         out = line
-        # figures
-        if regex.search(r"\d", out):
+        if ROUGH_FIGURE.search(out):
             def figure(m):
                 s = m.group()
                 n = sum(x.isdigit() for x in s)
@@ -255,7 +258,7 @@ class Channel:
                 return s
 
             out = FIGURE.sub(figure, out)
-        seen = [(m.start(), m.end(), m.group()) for m in SEEN.finditer(out)]
+        seen = [(m.start(), m.end(), m.group()) for m in SEEN.finditer(out)] if any(map(self.suspicious, ROUGH.findall(out))) else []
         if any(not s.isalpha() or (len(self.candidates(s)) > 1) for _, _, s in seen):
             for (a, b, s), w in reversed(list(zip(seen, self.decode_words([s for _, _, s in seen]), strict=True))):
                 if w != s.lower():
@@ -270,24 +273,26 @@ class Channel:
                     lo -= 1
                 while hi < len(cs) and hi - i < 3 and "一" <= cs[hi] <= "鿿":
                     hi += 1
-                if hi - lo >= 3 and self.doubtful(cs, i):
+                if hi - lo >= 3 and self.doubtful("".join(cs[lo:hi]), i - lo):
                     cs[lo:hi] = list(self.decode_han("".join(cs[lo:hi])))
             out = "".join(cs)
         return out
 
-    def doubtful(self, cs: list[str], i: int) -> bool:
-        """Whether some confusion of the character is far better known in its place."""
+    def _suspicious(self, seen: str) -> bool:
+        """Whether a rough token may be a misread word."""
+        if seen.isalpha():
+            return len(self.candidates(seen)) > 1
+        return any(c.isalpha() for c in seen)
+
+    def _doubtful(self, run: str, i: int) -> bool:
+        """Whether some confusion of the Han character at i is far better known in its place."""
+
         def known(c):
-            total = 0
-            for a in (i - 2, i - 1, i):
-                if a >= 0 and a + 2 < len(cs):
-                    x = [cs[k] if k != i else c for k in range(a, a + 3)]
-                    if all("一" <= y <= "鿿" for y in x):
-                        total += int(self.han[han_at(*map(ord, x))])
-            return total
+            x = run[:i] + c + run[i + 1 :]
+            return sum(int(self.han[han_at(*map(ord, x[a : a + 3]))]) for a in range(max(0, i - 2), i + 1) if a + 2 < len(x))
 
-        own = known(cs[i])
-        return any(known(c) >= max(KNOWN, RATIO * own) for c in HAN[cs[i]])
+        own = known(run[i])
+        return any(known(c) >= max(KNOWN, RATIO * own) for c in HAN[run[i]])
 
     def join_divided(self, text: str) -> tuple[str, bool]:
         """The text with words divided over a line end joined, and whether there were any."""
@@ -314,8 +319,11 @@ def repair(text: str, page: int | None, strips: set[str], channel: Channel, is_t
     """(continuous text, kinds of noise found)."""
     kinds, kept = set(), []
     for line in text.split("\n"):
-        bare = regex.sub(r"<[^<>]*>", "", line).strip()
-        if bare and is_page(bare, page):
+        if len(line) > 200:
+            kept.append(line)
+            continue
+        bare = re.sub(r"<[^<>]*>", "", line).strip() if "<" in line else line.strip()
+        if bare and len(bare) <= 24 and is_page(bare, page):
             kinds.add("page_number")
             continue
         if strips and 4 <= len(bare) <= 70:
@@ -324,7 +332,7 @@ def repair(text: str, page: int | None, strips: set[str], channel: Channel, is_t
                 continue
         kept.append(line)
     s = "\n".join(kept)
-    if any(x in s for x in MARKS):
+    if "\n" in s and any(x in s for x in MARKS):
         s, divided = channel.join_divided(s)
         if divided:
             kinds.add("hyphenation")
@@ -332,7 +340,7 @@ def repair(text: str, page: int | None, strips: set[str], channel: Channel, is_t
     fixed = [channel.repair_line(x) for x in lines]
     if fixed != lines:
         kinds.add("misread")
-    if is_table or "|" in s or "```" in s:
+    if is_table or len(fixed) == 1 or "|" in s or "```" in s:
         return "\n".join(fixed), kinds
     out: list[str] = []
     for x in fixed:
