@@ -346,7 +346,7 @@ def repair(text: str, page: int | None, strips: set[str], channel: Channel, is_t
     for x in fixed:
         x = x.strip("\r")
         if out and out[-1] and x and not regex.search(r"[.。！？!?；;：:>}\]]\s*$", out[-1]) and not regex.match(r"\s*(?:[-*#>|<\\{\[]|\d+[.)、]|[（(]\S{1,4}[）)])", x):
-            glue = "" if regex.search(r"[⺀-鿿，、]\s*$", out[-1]) or regex.match(r"[⺀-鿿]", x) else " "
+            glue = "" if regex.search(rf"[{MARKS}⺀-鿿，、]\s*$", out[-1]) or regex.match(r"[⺀-鿿]", x) else " "
             out[-1] = out[-1].rstrip() + glue + x.lstrip()
         else:
             out.append(x)

@@ -81,7 +81,8 @@ def minima(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         bin_ = (x >> U(40)) * U(BINS) >> U(24)
         cell = doc.astype(np.uint64) * U(BINS) + bin_
         s = np.sort(cell << U(40) | x & U((1 << 40) - 1))
-        first = np.concatenate([[True], s[1:] >> U(40) != s[:-1] >> U(40)])
+        first = np.ones(len(s), dtype=bool)
+        first[1:] = s[1:] >> U(40) != s[:-1] >> U(40)
         s = s[first]
         v = np.zeros(n * BINS, dtype=np.uint64)
         full = np.zeros(n * BINS, dtype=bool)

@@ -117,7 +117,7 @@ class Items:
         self.keys = [(q, part) for q, part, _ in texts]
         self.text = [reduced(t) for _, _, t in texts]
         h = [rolling(c, SEED) for c in self.text]
-        self.item = np.repeat(np.arange(len(h)), [len(x) for x in h])
+        self.item = np.repeat(np.arange(len(h)), np.array([len(x) for x in h], dtype=int))
         self.at = np.concatenate([np.arange(len(x)) for x in h] or [np.zeros(0, int)])
         all_ = np.concatenate(h or [np.zeros(0, np.uint64)])
         order = np.argsort(all_, kind="stable")
