@@ -147,7 +147,16 @@ def monotone_alignment(a: list[str], b: list[str], least: float = 0.6) -> list[t
     n, m = len(a), len(b)
     if a == b:
         return [(i, i) for i in range(n)]
-    sim = [[1.0 if x == y else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for y in b] for x in a]
+
+    def ratio(x: str, y: str) -> float:
+        if x == y:
+            return 1.0
+        m_ = difflib.SequenceMatcher(None, x, y, autojunk=False)
+        if min(m_.real_quick_ratio(), m_.quick_ratio()) < least:  # upper bounds
+            return 0.0
+        return m_.ratio()
+
+    sim = [[ratio(x, y) for y in b] for x in a]
     best = [[0.0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
