@@ -70,14 +70,14 @@ def strip_fences(c: Column) -> Column:
 def strip_html(c: Column) -> Column:
     """Tags go; rows and breaks become paragraphs."""
     x = sub(c, "(?i)<br\\s*/?>|</tr>|</p>", "\n")
-    return F.trim(sub(sub(sub(x, "<[^>]*>", ""), "[ \\t]+", " "), "\\n{2,}", "\n"))
+    return sub(sub(sub(sub(x, "<[^>]*>", ""), "[ \\t]+", " "), "\\n{2,}", "\n"), "^\\s+|\\s+$")
 
 
 def html_text(c: Column) -> Column:
     """Text of a page: script, style, head and comments go, block tags break lines, blank lines are squeezed."""
     x = sub(c, "(?is)<(script|style|head)\\b.*?</(script|style|head)>|<!--.*?-->", "")
     x = sub(x, "(?i)</?(p|div|li|ul|ol|tr|table|h[1-6]|br|section|article)\\b[^>]*>", "\n")
-    return F.trim(sub(sub(x, "<[^>]*>", ""), "\\n\\s*\\n+", "\n"))
+    return sub(sub(sub(x, "<[^>]*>", ""), "\\n\\s*\\n+", "\n"), "^\\s+|\\s+$")
 
 
 def evaluation_form(c: Column) -> Column:

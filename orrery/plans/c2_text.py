@@ -111,9 +111,9 @@ ORACLE = {
     "tx_strip_latex": B + f" select block_id, {rx('text', *LATEX, *LATEX, *LATEX, (r'\\$', ''))} as text from b".replace("\\\\$", "\\$"),
     "tx_sentences": B + ", s as (select block_id, list_filter(list_transform(regexp_extract_all(text, '[^。！？!?\\n]+[。！？!?]?'), lambda x: trim(x)), lambda x: x != '') as s from b) select block_id, unnest(range(len(s)))::int as n, unnest(s) as sentence from s",
     "tx_strip_fences": B + " select block_id, trim(text) as text from (select block_id, text from b)" if False else B + f""" select block_id, trim({rx(rx("trim('```md' || chr(10) || text || chr(10) || '```')", ('^```[A-Za-z]*\\n', ''), flags=''), ('\\n?```$', ''), flags='')}) as text from b""",
-    "tx_strip_html": B + f" select block_id, trim({rx('text', ('(?i)<br\\s*/?>|</tr>|</p>', chr(10)), ('<[^>]*>', ''), ('[ \\t]+', ' '), ('\\n{2,}', chr(10)))}) as text from b",
+    "tx_strip_html": B + f" select block_id, trim({rx('text', ('(?i)<br\\s*/?>|</tr>|</p>', chr(10)), ('<[^>]*>', ''), ('[ \\t]+', ' '), ('\\n{2,}', chr(10)), ('^\\s+|\\s+$', ''))}) as text from b",
     "tx_html_text": B
-    + f" select block_id, trim({rx('text', ('(?is)<(script|style|head)\\b.*?</(script|style|head)>|<!--.*?-->', ''), ('(?i)</?(p|div|li|ul|ol|tr|table|h[1-6]|br|section|article)\\b[^>]*>', chr(10)), ('<[^>]*>', ''), ('\\n\\s*\\n+', chr(10)))}) as text from b",
+    + f" select block_id, trim({rx('text', ('(?is)<(script|style|head)\\b.*?</(script|style|head)>|<!--.*?-->', ''), ('(?i)</?(p|div|li|ul|ol|tr|table|h[1-6]|br|section|article)\\b[^>]*>', chr(10)), ('<[^>]*>', ''), ('\\n\\s*\\n+', chr(10)), ('^\\s+|\\s+$', ''))}) as text from b",
     "tx_evaluation_form": B + f" select block_id, {rx('text', ('\\r\\n?', chr(10)), ('[ \\t]+', ' '), (' ?\\n ?', chr(10)), ('\\n{3,}', chr(10) * 2), ('^ +| +$', ''))} as text from b",
     "tx_caption_like": L + f" select block_id, line_no, length({rx('line', ('[^\\x{4e00}-\\x{9fff}]', ''))}) >= 4 and length({rx('line', ('[^\\x{4e00}-\\x{9fff}]', ''))}) > length({rx('line', ('[^0-9]', ''))}) as caption_like from ln",
     "tx_marker": L
