@@ -101,7 +101,7 @@ def strip_lines(items: DataFrame) -> DataFrame:
     cut = F.when(F.col("line").rlike(TAIL), F.regexp_replace("line", TAIL, ""))
     lines = x.select("item_table", "item_id", "doc_id", F.explode(F.array_compact(F.array(F.col("line"), cut))).alias("line"))
     lines = lines.select("item_table", "item_id", "doc_id", folded(F.col("line")).alias("key")).distinct().where(F.length("key") >= 4)
-    often = lines.where("item_table = 'doc_blocks'").groupBy("doc_id", "key").agg(F.count("*").alias("n")).where(F.col("n") >= STRIP).select("doc_id", "key")
+    often = lines.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where(F.col("n") >= STRIP).select("doc_id", "key")
     return lines.join(often, ["doc_id", "key"]).groupBy("item_table", "item_id").agg(F.collect_set("key").alias("strips"))  # at most an item's own lines
 
 
