@@ -27,7 +27,7 @@ QUERIES = {
     "c3_graph_profile": lambda s, d: g.profile(*parts(s, d)),
     "c3_graph_normalised": lambda s, d: g.normalised(*parts(s, d)).withColumn("w", F.round("w", 9)),
     "c3_correct_smooth": lambda s, d: smoothed(s, d).withColumn("v", F.round("v", 6)),
-    "c3_correct_smooth_full": lambda s, d: g.predicted(smoothed(s, d, 50, 50)),
+    "c3_correct_smooth_10": lambda s, d: g.predicted(smoothed(s, d, 10, 10)),
     "c3_predictions": pred,
     "c3_slices": lambda s, d: g.slices(pred(s, d), parts(s, d)[1], parts(s, d)[0]),
     "c3_confusions": lambda s, d: g.confusions(pred(s, d), parts(s, d)[1]),
