@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import map_arrow
+from orrery.session import cut_lineage
 from orrery.tables import table
 
 G, LOW, MIN_PAGES = 0.9, 0.2, 4
@@ -217,7 +218,7 @@ def parsed(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pages with markup: item_table, item_id, host, kinds, low; all pages): `low` are the paths whose branches are of low importance."""
     p = pages.where("item_id is not null")
     marked = p.where(F.col("text").rlike(SIGNS)).select("item_table", "item_id", F.coalesce("host", F.lit("")).alias("host"), "text")
-    b = branches(marked)
+    b = cut_lineage(branches(marked))  # read by four plans, parsed once
     low = style_tree(b).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW)).select("host", "path")
     at = b.select("item_table", "item_id", "host", F.explode("nodes.path").alias("path")).distinct()
     dropped = at.join(low, ["host", "path"]).groupBy("item_table", "item_id").agg(F.collect_set("path").alias("low"))  # at most a page's own paths
@@ -254,9 +255,8 @@ def pages(spark, sf_dir) -> DataFrame:
 
 
 def p1_found(spark, sf_dir):
-    """Pages with markup, one row per kind that their tree holds."""
-    found, _ = parsed(pages(spark, sf_dir))
-    return found.select("item_table", "item_id", F.explode("kinds").alias("markup"))
+    """Pages with markup, one row per kind that their tree holds; the rows come out of `clean`, so trees are merged and texts cleaned for them."""
+    return clean(pages(spark, sf_dir)).select("item_table", "item_id", F.explode("kinds").alias("markup"))
 
 
 def p1_clean(spark, sf_dir):

@@ -52,6 +52,15 @@ def test_markup_edges_and_style_tree(spark):
     assert p1_markup.clean(df.limit(0)).count() == 0
 
 
+def test_markup_found_runs_the_style_tree(spark, monkeypatch):
+    df = pages(spark, [None, "", "plain", "&lt;b&gt;x &amp; y", *[f"<div><nav>menu</nav><p>text {i}, \\textbf{{x}}</p></div>" for i in range(5)]])
+    monkeypatch.setattr(p1_markup, "pages", lambda *_: df.unionByName(df))
+    found = p1_markup.p1_found(spark, "")
+    assert rows(found) == sorted([("doc_blocks", "b3", "html"), *[("doc_blocks", f"b{i}", k) for i in range(4, 9) for k in ("html", "latex")]], key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "klogk" in plan and "spread" in plan and "MapInArrow" in plan  # the trees merged by host, and the cleaning
+
+
 # ---- 2 scans ----
 
 
