@@ -80,5 +80,27 @@ def pairs_in_groups(df: DataFrame, group: list[str], cls: str, id_: str) -> Data
     return full.unionByName(star).unionByName(rest)
 
 
+#: Equal copies that one row holds, and rows of a group that one cell of the pairing takes (see `all_pairs`).
+COPIES, CELL = 256, 32
+
+
+def all_pairs(df: DataFrame, group: list[str], cls: str, id_: str) -> DataFrame:
+    """Every pair of ids of one group whose class differs, smaller id first, whatever the group's size.
+
+    Members of one class fold into rows of about COPIES ids, so pairs inside a class are never looked at; a group's rows meet in
+    salted cells of about CELL x CELL rows, so a hot group is spread over tasks. `df` holds distinct rows.
+    """
+    n = df.groupBy(*group, cls).agg(F.ceil(F.count("*") / F.lit(COPIES)).cast("int").alias("_n"))
+    g = n.groupBy(*group).agg(F.count("*").alias("_classes"), F.ceil(F.sum("_n") / F.lit(CELL)).cast("int").alias("_cells")).where("_classes > 1").drop("_classes")
+    m = df.join(n.join(g, group), [*group, cls]).withColumn("_i", F.pmod(F.xxhash64(id_), F.col("_n")).cast("int"))
+    folded = m.groupBy(*group, cls, "_i", "_cells").agg(F.collect_list(id_).alias("_ids"))  # about COPIES ids a row
+    folded = folded.withColumn("_own", F.pmod(F.xxhash64(cls, "_i"), F.col("_cells")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)))
+    a = folded.select(*group, F.col("_own").alias("_x"), F.col("_other").alias("_y"), F.col(cls).alias("_ca"), F.col("_ids").alias("_a"))
+    b = folded.select(*group, F.col("_other").alias("_x"), F.col("_own").alias("_y"), F.col(cls).alias("_cb"), F.col("_ids").alias("_b"))
+    met = a.join(b, [*group, "_x", "_y"]).where("_ca < _cb")
+    met = met.select(*group, F.explode("_a").alias("_ia"), "_b").select(*group, "_ia", F.explode("_b").alias("_ib")).where("_ia != _ib")
+    return met.select(*group, F.least("_ia", "_ib").alias("id_a"), F.greatest("_ia", "_ib").alias("id_b"))
+
+
 def or_empty(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))

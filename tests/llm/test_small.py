@@ -215,6 +215,18 @@ def test_form_pairs_and_hot_groups(spark, monkeypatch):
     assert p6_forms.keys(df.limit(0)).count() == 0
 
 
+def test_form_pairs_of_large_readings(spark, monkeypatch):
+    stored = ["Report", "Rep\u043ert", "\uff32eport"]
+    data = [("t", f"i{k:03d}", stored[min(k % 7, 2)]) for k in range(90)] + [("u", f"j{k}", "same") for k in range(80)] + [("u", "z", "Report"), ("t", "x", None)]
+    monkeypatch.setattr(p6_forms, "items", lambda *_: spark.createDataFrame(data + data[:5], "item_table string, id string, text string"))
+    want = {("t", f"i{a:03d}", f"i{b:03d}") for a in range(90) for b in range(a + 1, 90) if min(a % 7, 2) != min(b % 7, 2)}
+    for copies, cell in ((256, 32), (4, 2)):  # one cell, and many
+        monkeypatch.setattr(common, "COPIES", copies, raising=False)
+        monkeypatch.setattr(common, "CELL", cell, raising=False)
+        got = [tuple(r) for r in p6_forms.p6_found(spark, "").collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 # ---- 7 pack ----
 
 
