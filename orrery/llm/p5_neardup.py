@@ -234,8 +234,8 @@ def _compare(defer: bool):
                 starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
                 size = np.diff(np.append(starts, len(bucket)))
                 hot = size > HOT
-                if deferring is not None and bucket[0] == deferring:
-                    hot[0] = True
+                if deferring is not None:  # an earlier bucket's held rows may stand before it
+                    hot |= bucket[starts] == deferring
                 mask = np.repeat(hot, size)
                 deferring = bucket[-1] if hot[-1] else None
                 if mask.any():

@@ -184,6 +184,22 @@ def test_neardup_brute_force(spark, monkeypatch):
     assert again == want
 
 
+def test_hot_bucket_is_deferred_over_batch_borders():
+    import pyarrow as pa
+
+    n = [5, 12_000, 4]
+    bucket = np.repeat(np.array([-7, 3, 9]), n)
+    node = np.arange(len(bucket))
+    sketch = np.random.default_rng(3).integers(-(1 << 62), 1 << 62, (len(bucket), 2))
+    sketch[:5], sketch[-4:] = 1, 2
+    rows_ = pa.record_batch([pa.array(bucket), pa.array(node), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy())], names=["bucket", "node", "s1", "s2"])
+    for size in (10_000, 9_000, 20_000):
+        out = [r for b in p5_neardup._compare(True)(rows_.slice(a, size) for a in range(0, len(bucket), size)) for r in b.to_pylist()]
+        assert sorted(r["a"] for r in out if r["b"] is None) == list(range(5, 12_005)) and {r["bucket"] for r in out if r["b"] is None} == {3}
+        pairs = [(r["a"], r["b"]) for r in out if r["b"] is not None]
+        assert sorted(pairs) == [(a, b) for lo, hi in ((0, 5), (12_005, 12_009)) for a in range(lo, hi) for b in range(a + 1, hi)]
+
+
 def test_neardup_empty(spark):
     df = spark.createDataFrame([], "chunk_id string, type string, text string")
     links, members = p5_neardup.similar(df)
