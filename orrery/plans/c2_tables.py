@@ -69,6 +69,7 @@ QUERIES = {
     "tx_merge_paragraphs": lambda s, d: c2_text.blocks(s, d).select("block_id", t.merge_paragraphs(F.concat(F.col("text"), F.lit("\n<table><tr></tr></table>\n"), F.col("text"))).alias("text")),
     "tx_harmonise_numbers": lambda s, d: t.harmonise(cells(s, d).withColumn("cell", F.when(F.col("r") % 4 == 3, F.regexp_replace("cell", ",", "")).otherwise(F.col("cell")))),
     "qa_tile_reason": lambda s, d: c2_text.tables(s, d).select("table_id", t.tile_reason(F.substring("markdown", 1, 300), F.regexp_count("markdown", F.lit("\n")), F.lit(6), F.regexp_count("markdown", F.lit("(?i)<td|\\|"))).alias("reason")),
+    "qa_tile_reason_whole": lambda s, d: c2_text.tables(s, d).select("table_id", t.tile_reason(F.col("markdown"), F.regexp_count("markdown", F.lit("\n")), F.lit(6), F.regexp_count("markdown", F.lit("(?i)<td|\\|"))).alias("reason")),
     "qa_occupancy": lambda s, d: t.occupancy(sparse(s, d), cells(s, d).select("table_id", "r", "c", (F.col("cell") != "-").alias("ink"))),
     "qa_grid_accuracy": lambda s, d: t.grid_accuracy(*estimates(s, d)),
     "gr_fold_spans": lambda s, d: t.fold_spans(sparse(s, d)),
@@ -100,6 +101,8 @@ select block_id, array_to_string(list_filter(list_transform(x, lambda y: case wh
 w as (select table_id, c, arg_min(template, (-n, template)) as template from v group by all having max(n) >= 3) select table_id, r, c, case when regexp_matches(cell, '^[0-9]{4,6}\.[0-9]{2}$') and template like '%,%' then regexp_replace(cell, '^([0-9]{1,3})([0-9]{3})(\.[0-9]{2})$', '\1,\2\3') else cell end as cell from x left join w using (table_id, c)""",
     "qa_tile_reason": c2_text.T
     + """ select table_id, case when not contains(lower(substring(markdown, 1, 300)), '<t') then 'flat' when len(regexp_extract_all(markdown, '(?i)<td|\\|')) > 40 then 'too_wide' when contains(lower(substring(markdown, 1, 300)), '<table') and not contains(lower(substring(markdown, 1, 300)), '</table>') then 'truncated' when len(string_split(markdown, chr(10))) - 1 < 6 * 0.8 then 'row_under' end as reason from t""",
+    "qa_tile_reason_whole": c2_text.T
+    + """ select table_id, case when not contains(lower(coalesce(markdown, '')), '<t') then 'flat' when len(regexp_extract_all(markdown, '(?i)<td|\\|')) > 40 then 'too_wide' when contains(lower(markdown), '<table') and not contains(lower(markdown), '</table>') then 'truncated' when len(string_split(markdown, chr(10))) - 1 < 6 * 0.8 then 'row_under' end as reason from t""",
     "qa_occupancy": SPARSE + " select table_id, count(*) filter ((sx.cell != '') != (ce.cell != '-')) = 0 as identical, count(*) filter ((sx.cell != '') != (ce.cell != '-')) as differing from sx join ce using (table_id, r, c) group by table_id",
     "qa_grid_accuracy": C
     + """, g as (select table_id, max(r) + 1 as gr, max(c) + 1 as gc from ce group by all), e as (select *, case when gr % 4 = 0 then gr + 1 else gr end as rows, case when gr % 3 = 0 then gc - 1 else gc end as cols from g)

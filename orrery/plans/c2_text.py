@@ -69,6 +69,7 @@ QUERIES = {
     "tx_chapter_title": lambda s, d: lines(s, d).select("block_id", "line_no", t.chapter_title(F.concat(F.lit("第一章 "), F.col("line"))).alias("chapter")),
     "qa_error": of(t.looks_like_error, "error"),
     "qa_truncated": lambda s, d: tables(s, d).select("table_id", t.truncated(F.substring("markdown", 1, 200)).alias("truncated")),
+    "qa_truncated_whole": lambda s, d: tables(s, d).select("table_id", t.truncated(F.col("markdown")).alias("truncated")),
     "qa_degenerate": lambda s, d: table(s, d, "documents").select("doc_id", t.degenerate(F.repeat(F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 400), F.lit("\n")), F.lit(45))).alias("degenerate"), t.degenerate(F.col("text")).alias("as_stored")),
     "qa_collapse_repeats": of(lambda c: t.collapse_repeats(F.concat(c, F.lit("\n\n"), c)), "text"),
     "qa_drop_adjacent": of(lambda c: t.drop_adjacent(F.concat_ws("\n\n", c, F.element_at(F.split(c, "\n"), -1))), "text"),
@@ -137,6 +138,7 @@ select block_id, line_no, not regexp_matches(trim(line), '[。！？!?.；;：:]
     "tx_chapter_title": L + f" select block_id, line_no, regexp_matches(trim('第一章 ' || line), '^第[0-9{NUM}]+[章编篇]') as chapter from ln",
     "qa_error": B + """ select block_id, coalesce(regexp_matches(substring(text, 1, 300), '(?i)"error"\\s*:|error code|traceback|internal server error'), false) as error from b""",
     "qa_truncated": T + " select table_id, coalesce(contains(lower(substring(markdown, 1, 200)), '<table') and not contains(lower(substring(markdown, 1, 200)), '</table>'), false) as truncated from t",
+    "qa_truncated_whole": T + " select table_id, coalesce(contains(lower(markdown), '<table') and not contains(lower(markdown), '</table>'), false) as truncated from t",
     "qa_degenerate": """with x as (select doc_id, repeat(substring(coalesce(text, ''), 1, 400) || chr(10), 45) as a, coalesce(text, '') as b from documents),
 f as (select doc_id, list_filter(list_transform(string_split(regexp_replace(a, '<[^>]*>', '', 'g'), chr(10)), lambda y: trim(y, ' ')), lambda y: y != '') as a, list_filter(list_transform(string_split(regexp_replace(b, '<[^>]*>', '', 'g'), chr(10)), lambda y: trim(y, ' ')), lambda y: y != '') as b from x)
 select doc_id, len(a) >= 40 and (len(a) - len(list_distinct(a))) / greatest(len(a), 1) > 0.5 as degenerate, len(b) >= 40 and (len(b) - len(list_distinct(b))) / greatest(len(b), 1) > 0.5 as as_stored from f""",

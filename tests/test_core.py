@@ -147,6 +147,26 @@ def test_query_equals_sql(spark, name):
     assert sorted(tuple(norm(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(map(norm, r)) for r in cur.fetchall())
 
 
+def test_whole_tables_are_judged(spark, tmp_path):
+    import duckdb
+
+    from orrery.plans import registry
+
+    row = "<tr><td>name</td><td>1,234.56</td></tr>\n"
+    texts = {"closed": "<table>" + row * 8 + "</table>", "cut": "<table>" + row * 8, "late": "note " * 80 + "<TABLE>" + "\n" * 5 + "<tr><td>x</td></tr></TABLE>", "late_cut": "note " * 80 + "<table>", "flat": "text " * 100, "none": None}
+    df = spark.createDataFrame(list(texts.items()), "table_id string, markdown string")
+    df.coalesce(1).write.parquet(str(tmp_path / "doc_tables.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view doc_tables as select * from read_parquet('{tmp_path}/doc_tables.parquet/*.parquet')")
+    got = {}
+    for name in ("qa_truncated_whole", "qa_tile_reason_whole"):
+        got[name] = {r[0]: r[1] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got[name] == dict(con.execute(registry.ORACLE[name]).fetchall())
+    assert {k for k, v in got["qa_truncated_whole"].items() if v} == {"cut", "late_cut"}
+    reason = got["qa_tile_reason_whole"]
+    assert reason["closed"] is None and reason["cut"] == reason["late_cut"] == "truncated" and reason["late"] is None and reason["flat"] == "flat"
+
+
 def test_results_do_not_depend_on_partitions(spark):
     from orrery.plans import registry
 
