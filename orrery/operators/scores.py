@@ -42,6 +42,17 @@ def wasserstein(df: DataFrame, by: list[str], side: str, value: str, a: str, b:
     return v.groupBy(*by, "i").agg(F.max(F.when(F.col(side) == a, F.col(value))).alias("x"), F.max(F.when(F.col(side) == b, F.col(value))).alias("y")).where("x is not null and y is not null").groupBy(*by).agg(F.round(F.avg(F.abs(F.col("x") - F.col("y"))), 6).alias("wasserstein"))
 
 
+def wasserstein_exact(df: DataFrame, by: list[str], side: str, value: str, a: str, b: str) -> DataFrame:
+    """1-D Wasserstein distance of two samples per group over all their values: the integral of |F_a - F_b|, from counts per distinct value; groups without one of the samples are left out."""
+    n = lambda x: F.count_if(F.col(side) == x)
+    c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n(a).alias("na"), n(b).alias("nb")).where("na + nb > 0")
+    w, all_ = W.partitionBy(*by).orderBy(value), W.partitionBy(*by)
+    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    x = c.select(*by, F.sum("na").over(upto).alias("ca"), F.sum("nb").over(upto).alias("cb"), F.sum("na").over(all_).alias("ta"), F.sum("nb").over(all_).alias("tb"), (F.lead(value).over(w) - F.col(value)).alias("gap"))
+    x = x.where("ta > 0 and tb > 0")
+    return x.groupBy(*by).agg(F.round(F.sum(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb")) * F.coalesce("gap", F.lit(0.0))), 6).alias("wasserstein"))
+
+
 def composite(pairs: DataFrame) -> DataFrame:
     """0.4 pattern + 0.6 participant: the two parts of a label, each as a share of hits."""
     part = lambda c, i: F.split(c, "_")[i]

@@ -144,6 +144,7 @@ QUERIES |= {
     "c1_weighted_f1": lambda s, d: scores.weighted_f1(label_pairs(s, d), "pred", "truth"),
     "c1_f1_by_label": lambda s, d: scores.f1_by_label(label_pairs(s, d), "pred", "truth"),
     "c1_wasserstein": lambda s, d: scores.wasserstein(two_samples(s, d), ["symbol"], "g", "v", "order", "trade"),
+    "c1_wasserstein_exact": lambda s, d: scores.wasserstein_exact(two_samples(s, d), ["symbol"], "g", "v", "order", "trade"),
     "c1_composite_score": lambda s, d: scores.composite(label_pairs(s, d)),
     "c1_moving_score": lambda s, d: scores.moving(label_pairs(s, d), table(s, d, "events")),
     "c1_eligible": lambda s, d: scores.eligible(label_pairs(s, d)),
@@ -163,6 +164,10 @@ sm as (select symbol, list(v order by v) filter (g='order') as o, list(v order b
 rk as (select symbol, o, d, unnest(range(0, 101)) as i from sm),
 e as (select symbol, o[floor(i * (len(o) - 1) / 100.0)::int + 1] as x, d[floor(i * (len(d) - 1) / 100.0)::int + 1] as y from rk where len(o) > 0 and len(d) > 0)
 select symbol, round(avg(abs(x - y)), 6) as wasserstein from e group by symbol""",
+    "c1_wasserstein_exact": TICKS
+    + """, v as (select symbol, price as x, count(*) filter (act = 'order') as o, count(*) filter (act = 'trade') as d from t where side = 'buy' and act in ('order', 'trade') and price is not null group by all),
+c as (select symbol, x, sum(o) over w as co, sum(d) over w as cd, sum(o) over (partition by symbol) as no, sum(d) over (partition by symbol) as nd, lead(x) over w as nx from v window w as (partition by symbol order by x))
+select symbol, round(sum(coalesce(abs(co / no - cd / nd) * (nx - x), 0)), 6) as wasserstein from c where no > 0 and nd > 0 group by symbol""",
     "c1_composite_score": PAIRS + " select symbol, round(0.4 * avg((split_part(pred, '_', 1) = split_part(truth, '_', 1))::int) + 0.6 * avg((split_part(pred, '_', 2) = split_part(truth, '_', 2))::int), 6) as score from pr group by symbol",
     "c1_moving_score": PAIRS
     + """, cal as (select distinct ts::date as date from events where ts is not null), sy as (select distinct symbol from pr), ds as (select symbol, date, avg((pred = truth)::int) as s from pr group by all),
