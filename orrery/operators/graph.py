@@ -73,15 +73,20 @@ def correct_and_smooth(edges: DataFrame, nodes: DataFrame, prior: DataFrame, a1:
 
     `prior` is (node, label, v) for all nodes and classes.
     """
+    long = n1 + n2 > 10
     adj = normalised(edges, nodes)
+    if long:  # written once, by the key of every step's join
+        adj = cut_lineage(adj.repartition("dst"))
     hot = nodes.where("split = 'train' and label is not null").select("node", "label", F.lit(1.0).alias("y"))
     train = nodes.where("split = 'train' and label is not null").select("node")
     base = prior.join(hot, ["node", "label"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
     err = base.join(train.withColumn("t", F.lit(1)), "node", "left").select("node", "label", F.when(F.col("t") == 1, F.col("y") - F.col("v")).otherwise(F.lit(0.0)).alias("v"))
+    if long:
+        base, err = cut_lineage(base), cut_lineage(err)
     res = propagate(adj, err, a1, n1).withColumnRenamed("v", "r")
     fixed = base.join(res, ["node", "label"], "left").join(train.withColumn("t", F.lit(1)), "node", "left")
     fixed = fixed.select("node", "label", F.when(F.col("t") == 1, F.col("y")).otherwise(F.greatest(F.lit(0.0), F.col("v") + scale * F.coalesce("r", F.lit(0.0)))).alias("v"))
-    return propagate(adj, cut_lineage(fixed) if n1 + n2 > 10 else fixed, a2, n2, clip=True)
+    return propagate(adj, cut_lineage(fixed) if long else fixed, a2, n2, clip=True)
 
 
 def uniform_prior(nodes: DataFrame) -> DataFrame:

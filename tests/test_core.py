@@ -50,6 +50,32 @@ def test_graph_example(spark):
     assert {r["node"]: r["pred"] for r in graph.predicted(x).collect()}[4] == 0
 
 
+def test_full_smoothing_queries(spark, monkeypatch):
+    from orrery.plans import c3_graph
+
+    e = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 0), (3, 4)], "src long, dst long")
+    n = spark.createDataFrame([(0, 0, "train"), (1, 1, "train"), (2, 0, "test"), (3, 1, "test"), (4, 0, "train")], "node long, label int, split string")
+    monkeypatch.setattr(c3_graph, "parts", lambda s, d: (e, n))
+    a = np.eye(5)
+    for i, j in [(0, 1), (1, 2), (2, 3), (3, 0), (3, 4)]:
+        a[i, j] = a[j, i] = 1
+    a /= np.sqrt(np.outer(a.sum(1), a.sum(1)))
+    train, hot, prior = np.array([1, 1, 0, 0, 1], bool)[:, None], np.array([[1, 0], [0, 1], [0, 0], [0, 0], [1, 0]], float), np.tile([2 / 3, 1 / 3], (5, 1))
+    x0 = x = np.where(train, hot - prior, 0)
+    for _ in range(50):
+        x = 0.2 * x0 + 0.8 * a @ x
+    x0 = x = np.where(train, hot, np.maximum(0, prior + x))
+    for _ in range(50):
+        x = np.maximum(0, 0.2 * x0 + 0.8 * a @ x)
+    got = {(r["node"], r["label"]): r["v"] for r in c3_graph.QUERIES["c3_correct_smooth_full"](spark, "").collect()}
+    assert len(got) == 10 and all(abs(v - x[k]) < 1e-5 for k, v in got.items())
+    steps = []
+    monkeypatch.setattr(c3_graph.g, "correct_and_smooth", lambda e, n, prior, n1, n2: steps.append((n1, n2)) or prior)
+    for name in ("predictions", "slices", "confusions", "accuracy"):
+        c3_graph.QUERIES[f"c3_{name}_full"](spark, "")
+    assert steps == [(50, 50)] * 4
+
+
 def test_ndcg_ranks(spark):
     r = spark.createDataFrame([(1, 5, 1.0, 1), (1, 6, 0.5, 2), (2, 5, 1.0, 1)], "uid int, iid int, score double, rank int")
     g = spark.createDataFrame([(1, 6, 3), (2, 7, 0), (3, 5, 1)], "uid int, target int, len int")
