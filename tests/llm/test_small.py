@@ -52,9 +52,24 @@ def test_markup_edges_and_style_tree(spark):
     assert p1_markup.clean(df.limit(0)).count() == 0
 
 
+def test_style_tree_removes_only_what_pages_repeat(spark):
+    data = [f"<nav><a>Home page</a> <a>About us</a></nav><p>Unique body {i} zq{i}.</p><div class=foot{i}><p>All rights reserved</p><p>Contact</p></div><h2>Same head</h2><!-- page break -->end{i}" for i in range(6)]
+    data += ["<nav><a>Home page</a> <a>Only here</a></nav><p>More.</p>", "<ul><li>x</li></ul>"]
+    df = pages(spark, data)
+    out = {r["item_id"]: (r["clean_text"], r["n_dropped"]) for r in p1_markup.clean(df.unionByName(df)).collect()}
+    for i in range(6):
+        text, n = out[f"b{i}"]
+        assert n == 3 and f"Unique body {i} zq{i}." in text and f"end{i}" in text and "Same head" in text and "Home" not in text and "reserved" not in text and "break" not in text
+    assert "Only here" in out["b6"][0] and "Home page" not in out["b6"][0]
+    sites = spark.createDataFrame([(f"d{i}", "s") for i in range(6)], "doc string, site string")
+    own = spark.createDataFrame([("doc_blocks", f"b{i}", f"d{i}", data[i]) for i in range(6)], "item_table string, item_id string, host string, text string")
+    assert all(r["n_dropped"] == 0 for r in p1_markup.clean(own).collect()) and all(r["n_dropped"] == 3 for r in p1_markup.clean(own, sites).collect())
+
+
 def test_markup_found_runs_the_style_tree(spark, monkeypatch):
     df = pages(spark, [None, "", "plain", "&lt;b&gt;x &amp; y", *[f"<div><nav>menu</nav><p>text {i}, \\textbf{{x}}</p></div>" for i in range(5)]])
     monkeypatch.setattr(p1_markup, "pages", lambda *_: df.unionByName(df))
+    monkeypatch.setattr(p1_markup, "sites", lambda *_: None)
     found = p1_markup.p1_found(spark, "")
     assert rows(found) == sorted([("doc_blocks", "b3", "html"), *[("doc_blocks", f"b{i}", k) for i in range(4, 9) for k in ("html", "latex")]], key=str)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
