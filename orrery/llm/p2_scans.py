@@ -1,9 +1,11 @@
 """Repair of text from scanned pages: running strips, page figures, divided words and misread characters.
 
-Misread characters are decoded by a noisy channel: a word as seen is some word as written times the chance of confusing their characters; the written words of a line
+Misread characters are decoded by a noisy channel: a word as seen is some word as written times the chance of confusing their characters, which is estimated from the
+misreadings that single words show in all scanned items (with PRIOR observations of CONFUSE before any); the written words of a line
 are those of the greatest product of confusion probabilities and corpus n-gram likelihood, found by Viterbi over each word's candidates (for Han text, over the
 characters that may be confused, with trigrams). The n-grams of words, word pairs and Han trigrams of the whole corpus are counted in tables of fixed size (hashed,
-TABLE_BITS), so what is broadcast doesn't grow with the data.
+TABLE_BITS), so what is broadcast doesn't grow with the data. Where a corpus fills a table, the median cell, all collisions, is taken off every count and a word
+must stand clear of it to be known; the rarest words are then unknown, none becomes known by collisions.
 
 A running strip is a short line that a document repeats in at least STRIP blocks, up to case, misread characters and a page figure at its end; captions and
 headings are none. Divided words are joined where the corpus knows the whole rather than both parts.
@@ -30,7 +32,7 @@ from orrery.llm.common import codes, map_arrow, passes
 from orrery.tables import table
 
 SCANNER, STRIP, TABLE_BITS, SLICE_BITS = "paddleocr-vl", 3, 22, 16
-KNOWN, RATIO, CONFUSE, BACKOFF = 5, 30, 0.01, 50
+KNOWN, RATIO, CONFUSE, BACKOFF, PRIOR = 5, 30, 0.01, 50, 500
 # What is seen and what may have been written.
 SEEN_LATIN = [("0", "o"), ("1", "l"), ("1", "i"), ("!", "i"), ("!", "l"), ("l", "i"), ("i", "l"), ("I", "l"), ("c", "e"), ("e", "c"), ("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("vv", "w"), ("w", "vv"), ("li", "h"), ("h", "li"), ("ii", "u"), ("u", "n"), ("n", "u"), ("h", "b"), ("b", "h"), ("t", "f"), ("f", "t"), ("5", "s"), ("8", "b"), ("6", "b"), ("9", "g"), ("q", "g"), ("a", "o"), ("o", "a"), ("ri", "n"), ("nn", "m")]
 SEEN_DIGIT = {"O": "0", "o": "0", "l": "1", "I": "1", "i": "1", "!": "1", "|": "1", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2", "D": "0", "g": "9", "q": "9", "b": "6", "G": "6"}
@@ -50,18 +52,34 @@ HAN_RUN = re.compile(f"[{''.join(sorted(HAN))}]")
 MARKS = "-‐‑¬\xad"
 DIVIDED = regex.compile(rf"([{LETTER}]+)([{MARKS}])[ \t]*\r?\n[ \t]*([{LETTER}]+)")
 D = r"[0-9OolISBZ!]"
-PAGE = regex.compile(rf"[-–—·•~]\s*(?P<a>{D}{{1,4}})\s*[-–—·•~]|(?P<b>{D}{{1,4}})\s*/\s*{D}{{1,4}}|(?i:page|p\.)\s*(?P<c>{D}{{1,4}})(?:\s*(?i:[o0]f|/)\s*{D}{{1,4}})?|第\s*(?P<d>{D}{{1,4}})\s*页(?:[，,\s]*共\s*{D}{{1,4}}\s*页)?|(?P<bare>{D}{{1,4}})")
+PAGE = regex.compile(rf"[-–—·•~]\s*(?P<a>{D}{{1,4}})\s*[-–—·•~]|(?P<b>{D}{{1,4}})\s*/\s*{D}{{1,4}}|(?i:page|p\.)\s*(?P<c>{D}{{1,4}})(?:\s*(?i:[o0]f|/)\s*{D}{{1,4}})?|第\s*(?P<d>{D}{{1,4}})\s*页(?:[，,\s]*共\s*{D}{{1,4}}\s*页)?|(?P<bare>{D}{{1,4}})|(?P<roman>[ivxlcIVXLC]+)")
+ROMAN = regex.compile(r"(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
+
+
+#: Quick test for a line that may give the page.
+PAGE_LIKE = re.compile(r"[-–—·•~\s0-9OolISBZ!pPaAgGeEfF./第页共，,ivxlcVXLC]+$")
 
 
 def digits(s: str) -> str:
     return "".join(SEEN_DIGIT.get(x, x) for x in s)
 
 
+def roman(s: str) -> int:
+    """Value of a Roman figure below 100."""
+    v = [{"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}[c] for c in s]
+    return sum(-a if a < b else a for a, b in zip(v, [*v[1:], 0], strict=True))
+
+
 def is_page(line: str, page: int | None) -> bool:
     """Whether a line only gives the page."""
-    m = PAGE.fullmatch(line.strip())
-    if not m or not regex.search(r"\d", line):
+    m = PAGE.fullmatch(" ".join(line.split()))
+    if not m:
         return False
+    if m["roman"]:  # of the front matter; l may be a misread i
+        low = m["roman"].lower()
+        return bool(ROMAN.fullmatch(low)) if page is None else any(ROMAN.fullmatch(r) and roman(r) == page for r in (low, low.replace("l", "i")))
+    if not regex.search(r"\d", line):  # a figure misread throughout
+        return page is not None and digits(m["a"] or m["b"] or m["c"] or m["d"] or m["bare"]) == str(page) and not m["bare"]
     n = digits(m["a"] or m["b"] or m["c"] or m["d"] or m["bare"])
     if not n.isdigit():
         return False
@@ -96,8 +114,8 @@ TAIL = r"[\s　]+[0-9OolISBZ!]{1,4}$"
 
 def strip_lines(items: DataFrame) -> DataFrame:
     """(item_table, item_id, strips): folded strips of the items that hold any."""
-    x = items.where(~F.col("type").isin("heading", "table") | F.col("type").isNull()).select("item_table", "item_id", "doc_id", F.explode(F.filter(F.split("text", "\n"), lambda y: F.length(y).between(4, 90))).alias("line"))
-    x = x.withColumn("line", F.regexp_replace(F.regexp_replace("line", "<[^<>]*>", ""), r"^[\s　]+|[\s　]+$", "")).where(F.length("line").between(4, 60) & ~F.col("line").rlike(r"^[|!<=#\\{\[*>&`~+-]|[。，；：,;:|}\]>]$|[.](?:$|\s)|^[\d\s.,%·/-]+$|^Page \d|^第\s*\d+\s*页"))
+    x = items.where(~F.col("type").isin("heading", "table") | F.col("type").isNull()).select("item_table", "item_id", "doc_id", F.explode(F.filter(F.split("text", "\n"), lambda y: F.length(y) >= 4)).alias("line"))
+    x = x.withColumn("line", F.regexp_replace(F.regexp_replace("line", "<[^<>]*>", ""), r"^[\s　]+|[\s　]+$", "")).where((F.length("line") >= 4) & ~F.col("line").rlike(r"^[|!<=#\\{\[*>&`~+-]|[。，；：,;:|}\]>]$|[.](?:$|\s)|^[\d\s.,%·/-]+$|^Page \d|^第\s*\d+\s*页"))
     cut = F.when(F.col("line").rlike(TAIL), F.regexp_replace("line", TAIL, ""))
     lines = x.select("item_table", "item_id", "doc_id", F.explode(F.array_compact(F.array(F.col("line"), cut))).alias("line"))
     lines = lines.select("item_table", "item_id", "doc_id", folded(F.col("line")).alias("key")).distinct().where(F.length("key") >= 4)
@@ -124,6 +142,8 @@ def han_at(x: int, y: int, z: int) -> int:
 
 
 M64 = (1 << 64) - 1
+MODEL_SCHEMA = "kind int, slice int, counts binary"
+FAN_IN = 64
 MODEL = pa.schema([("kind", pa.int32()), ("slice", pa.int32()), ("counts", pa.binary())])
 
 
@@ -158,53 +178,80 @@ def _count(batches):
 def language_model(texts: DataFrame) -> list[np.ndarray]:
     """Count tables over all of a text column; 3 x 2**TABLE_BITS counts, whatever the corpus."""
 
-    def add(pdf):
+    def add(pdf):  # a group holds what FAN_IN tasks counted, or fewer
         total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in pdf["counts"])
         total = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
-        return pdf.head(1).assign(counts=[zlib.compress(total.tobytes(), 1)])
-
-    parts = texts.mapInArrow(_count, "kind int, slice int, counts binary").groupBy("kind", "slice").applyInPandas(add, "kind int, slice int, counts binary").collect()
+        return pdf[["kind", "slice", "counts"]].head(1).assign(counts=[zlib.compress(total.tobytes(), 1)])
+
+    rows = texts.mapInArrow(_count, MODEL_SCHEMA)
+    tasks = texts.rdd.getNumPartitions()
+    while tasks > FAN_IN:  # levels of partial sums: no task reads more than FAN_IN slices' worth
+        groups = -(-tasks // FAN_IN)
+        rows = rows.groupBy("kind", "slice", F.pmod(F.spark_partition_id(), F.lit(groups)).alias("g")).applyInPandas(add, MODEL_SCHEMA)
+        tasks = groups
+    parts = rows.groupBy("kind", "slice").applyInPandas(add, MODEL_SCHEMA).collect()  # 192 rows at most
     out = [np.zeros(1 << TABLE_BITS, np.uint32) for _ in range(3)]
     for r in parts:
         out[r["kind"]][r["slice"] << SLICE_BITS : (r["slice"] + 1) << SLICE_BITS] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32)
     return out
 
 
+def han_around(cs, i: int) -> tuple[int, int]:
+    """Extent of the Han characters next to the one at i that its trigrams need."""
+    lo, hi = i, i + 1
+    while lo > 0 and i - lo < 2 and "一" <= cs[lo - 1] <= "鿿":
+        lo -= 1
+    while hi < len(cs) and hi - i < 3 and "一" <= cs[hi] <= "鿿":
+        hi += 1
+    return lo, hi
+
+
+LOG_CONFUSE = math.log(CONFUSE)
+
+
 class Channel:
-    """Decodes lines by the noisy channel."""
+    """Decodes lines by the noisy channel; `confusion` holds the chances of seeing a for b, CONFUSE where none was estimated."""
 
-    def __init__(self, tables: list[np.ndarray]):
+    def __init__(self, tables: list[np.ndarray], confusion: dict[tuple[str, str], float] | None = None):
         self.words, self.pairs, self.han = tables
+        self.confusion = {k: math.log(p) for k, p in (confusion or {}).items()}
+        # a full table: what its median cell holds by collisions is nobody's count
+        self.floor, self.pair_floor, self.han_floor = (int(np.median(t)) for t in tables)
+        self.known, self.han_known = (max(KNOWN, math.ceil(6 * math.sqrt(x))) for x in (self.floor, self.han_floor))
         self.total = float(max(1, int(self.words.sum(dtype=np.uint64))))
-        self.count = functools.lru_cache(300_000)(lambda w: int(self.words[word_at(w)]))
+        self.count = functools.lru_cache(300_000)(lambda w: max(0, int(self.words[word_at(w)]) - self.floor))
         self.candidates = functools.lru_cache(100_000)(self._candidates)
         self.suspicious = functools.lru_cache(300_000)(self._suspicious)
         self.doubtful = functools.lru_cache(300_000)(self._doubtful)
 
-    def _candidates(self, seen: str) -> tuple[tuple[str, float], ...]:
-        """Written forms of a word with the log probability of seeing it so; the word itself first."""
+    def log_confusion(self, seen: str, written: str) -> float:
+        return self.confusion.get((seen, written), LOG_CONFUSE)
+
+    def _candidates(self, seen: str) -> tuple[tuple[str, float, tuple[tuple[str, str], ...]], ...]:
+        """Written forms of a word with the log probability of seeing it so and the confusions it takes; the word itself first.
+
+        Up to three confusions are tried, more of them only where fewer explain nothing.
+        """
         low = seen.lower()
         own = self.count(low) if low.isalpha() else 0
-        out = {low: math.log(1 - CONFUSE)}
+        out = {low: (math.log(1 - CONFUSE), ())}
         if len(low) >= 3:
-            front = {low}
+            front: dict[str, tuple[tuple[str, str], ...]] = {low: ()}
             for depth in (1, 2, 3):
-                grown = {}
-                for w in front:
+                grown: dict[str, tuple[tuple[str, str], ...]] = {}
+                for w, used in front.items():
                     for a, b in SEEN_LATIN:
                         at = w.find(a.lower())
                         while at >= 0:
-                            grown[w[:at] + b + w[at + len(a) :]] = depth
+                            grown.setdefault(w[:at] + b + w[at + len(a) :], (*used, (a, b)))
                             at = w.find(a.lower(), at + 1)
-                for w in grown:
-                    if w not in out and w.isalpha() and self.count(w) >= max(KNOWN, RATIO * own):
-                        out[w] = depth * math.log(CONFUSE)
+                for w, used in grown.items():
+                    if w not in out and w.isalpha() and self.count(w) >= max(self.known, RATIO * own):
+                        out[w] = sum(self.log_confusion(*p) for p in used), used
                 if len(out) > 1 or depth == 2 and low.isalpha():
                     break
-                front = set(grown) if not low.isalpha() or len(low) >= 5 else set()
-                if len(front) > 4000:
-                    break
-        return tuple(out.items())
+                front = grown if not low.isalpha() or len(low) >= 5 else {}
+        return tuple((w, p, used) for w, (p, used) in out.items())
 
     def word_score(self, w: str, before: str | None) -> float:
         """Log probability of a written word after another; a word that is likely misread counts as never seen."""
@@ -212,7 +259,7 @@ class Channel:
         uni = ((self.count(w) if known else 0) + 0.01) / self.total
         if before is None:
             return math.log(uni)
-        seen = max(0, int(self.pairs[pair_at(before, w)]) - 1) if known else 0  # a pair seen once says nothing
+        seen = max(0, int(self.pairs[pair_at(before, w)]) - self.pair_floor - 1) if known else 0  # a pair seen once says nothing
         return math.log((seen + BACKOFF * uni) / (max(self.count(before), BACKOFF) + BACKOFF))
 
     def decode_words(self, seen: list[str]) -> list[str]:
@@ -220,11 +267,14 @@ class Channel:
         best: dict[str | None, tuple[float, list[str]]] = {None: (0.0, [])}
         for s in seen:
             nxt: dict[str | None, tuple[float, list[str]]] = {}
-            for w, channel in self.candidates(s):
+            for w, channel, _ in self.candidates(s):
                 nxt[w] = max(((p + channel + self.word_score(w, b), [*path, w]) for b, (p, path) in best.items()), key=lambda x: x[0])
             best = nxt
         return max(best.values(), key=lambda x: x[0])[1]
 
+    def trigram(self, x: int, y: int, z: int) -> int:
+        return max(0, int(self.han[han_at(x, y, z)]) - self.han_floor)
+
     def decode_han(self, run: str) -> str:
         """A short Han stretch as written: trigrams over the characters that may be confused, by Viterbi."""
         best: dict[str, tuple[float, str]] = {"": (0.0, "")}
@@ -232,9 +282,9 @@ class Channel:
             nxt: dict[str, tuple[float, str]] = {}
             for to in (c, *HAN.get(c, ())):
                 for path_p, path in best.values():
-                    p = path_p + (math.log(CONFUSE) if to != c else 0.0)
+                    p = path_p + (self.log_confusion(c, to) if to != c else 0.0)
                     if len(path) >= 2:
-                        p += math.log(int(self.han[han_at(ord(path[-2]), ord(path[-1]), ord(to))]) + 0.02)
+                        p += math.log(self.trigram(ord(path[-2]), ord(path[-1]), ord(to)) + 0.02)
                     key = (path + to)[-2:]
                     if key not in nxt or p > nxt[key][0]:
                         nxt[key] = p, path + to
@@ -268,11 +318,7 @@ class Channel:
         if marks:
             cs = list(out)
             for i in marks:
-                lo, hi = i, i + 1
-                while lo > 0 and i - lo < 2 and "一" <= cs[lo - 1] <= "鿿":
-                    lo -= 1
-                while hi < len(cs) and hi - i < 3 and "一" <= cs[hi] <= "鿿":
-                    hi += 1
+                lo, hi = han_around(cs, i)
                 if hi - lo >= 3 and self.doubtful("".join(cs[lo:hi]), i - lo):
                     cs[lo:hi] = list(self.decode_han("".join(cs[lo:hi])))
             out = "".join(cs)
@@ -289,10 +335,24 @@ class Channel:
 
         def known(c):
             x = run[:i] + c + run[i + 1 :]
-            return sum(int(self.han[han_at(*map(ord, x[a : a + 3]))]) for a in range(max(0, i - 2), i + 1) if a + 2 < len(x))
+            return sum(self.trigram(*map(ord, x[a : a + 3])) for a in range(max(0, i - 2), i + 1) if a + 2 < len(x))
 
         own = known(run[i])
-        return any(known(c) >= max(KNOWN, RATIO * own) for c in HAN[run[i]])
+        return any(known(c) >= max(self.han_known, RATIO * own) for c in HAN[run[i]])
+
+    def evident(self, text: str) -> Counter:
+        """Confusions that single words and Han characters of a text show by themselves."""
+        out: Counter = Counter()
+        for w in ROUGH.findall(text):
+            if self.suspicious(w):
+                for _, _, used in self.candidates(w)[1:2]:
+                    out.update(used)
+        for m in HAN_RUN.finditer(text):
+            lo, hi = han_around(text, m.start())
+            if hi - lo >= 3 and self.doubtful(text[lo:hi], m.start() - lo):
+                to = self.decode_han(text[lo:hi])
+                out.update((a, b) for a, b in zip(text[lo:hi], to, strict=True) if a != b)
+        return out
 
     def join_divided(self, text: str) -> tuple[str, bool]:
         """The text with words divided over a line end joined, and whether there were any."""
@@ -302,11 +362,11 @@ class Channel:
             nonlocal found
             left, mark, right = m.groups()
             whole = self.count((left + right).lower())
-            parts = self.count(left.lower()) >= KNOWN and self.count(right.lower()) >= KNOWN
+            parts = self.count(left.lower()) >= self.known and self.count(right.lower()) >= self.known
             if right[0].isupper() and not left.isupper():
                 return m.group()
-            if mark in "¬\xad" or whole >= KNOWN or not parts:
-                if mark == "-" and whole < KNOWN and len(left) == 1 and left.isupper():
+            if mark in "¬\xad" or whole >= self.known or not parts:
+                if mark == "-" and whole < self.known and len(left) == 1 and left.isupper():
                     return m.group()
                 found = True
                 return left + right + "\n"
@@ -319,14 +379,11 @@ def repair(text: str, page: int | None, strips: set[str], channel: Channel, is_t
     """(continuous text, kinds of noise found)."""
     kinds, kept = set(), []
     for line in text.split("\n"):
-        if len(line) > 200:
-            kept.append(line)
-            continue
         bare = re.sub(r"<[^<>]*>", "", line).strip() if "<" in line else line.strip()
-        if bare and len(bare) <= 24 and is_page(bare, page):
+        if bare and PAGE_LIKE.match(bare) and is_page(bare, page):
             kinds.add("page_number")
             continue
-        if strips and 4 <= len(bare) <= 70:
+        if strips and len(bare) >= 4:
             if py_folded(bare) in strips or py_folded(regex.sub(TAIL, "", bare)) in strips:
                 kinds.add("running_header")
                 continue
@@ -362,14 +419,42 @@ def items(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return all_.where("item_id is not null").join(docs, "doc_id", "left_semi"), all_.select("text")
 
 
+def confusions(scanned: DataFrame, model) -> dict[tuple[str, str], float]:
+    """Chance of seeing a for b in an item that is misread at all, of each pair of the confusion lists, from all scanned items."""
+    state: dict = {}
+    schema = pa.schema([("seen", pa.string()), ("written", pa.string()), ("n", pa.int64()), ("of", pa.int64())])
+    pairs = [(a, b) for a, b in SEEN_LATIN] + [(p[0], p[1]) for p in SEEN_HAN]
+
+    def run(batches):
+        ch = state.get("channel") or state.setdefault("channel", Channel(model.value))
+        n, of = Counter(), Counter()
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                e = ch.evident(s)
+                if e:
+                    n.update(e)
+                    low = s.lower()
+                    of.update({w: k for w in {w for _, w in pairs} if (k := low.count(w))})
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*[(a, b, n[a, b], of[b]) for a, b in pairs], strict=True), schema, strict=True)], schema=schema)
+
+    rows = scanned.where("text is not null").select("text").mapInArrow(run, "seen string, written string, n bigint, of bigint")
+    got = rows.groupBy("seen", "written").agg(F.sum("n").alias("n"), F.sum("of").alias("of")).collect()  # the pairs of the lists
+    return {(r["seen"], r["written"]): min(0.5, (r["n"] + PRIOR * CONFUSE) / (r["of"] + r["n"] + PRIOR)) for r in got}
+
+
 def repaired(scanned: DataFrame, texts: DataFrame) -> DataFrame:
     """(item_table, item_id, kinds, text) of every item of a scanned document."""
-    model = scanned.sparkSession.sparkContext.broadcast(language_model(texts))  # fixed size
+    sc = scanned.sparkSession.sparkContext
+    counts = language_model(texts)
+    first = sc.broadcast(counts)  # fixed size
+    model = sc.broadcast((counts, confusions(scanned, first)))  # fixed size
+    first.unpersist()
     state: dict = {}
     schema = pa.schema([("item_table", pa.string()), ("item_id", pa.string()), ("kinds", pa.list_(pa.string())), ("text", pa.string())])
 
     def fn(cols):
-        ch = state.get("channel") or state.setdefault("channel", Channel(model.value))
+        ch = state.get("channel") or state.setdefault("channel", Channel(*model.value))
         kinds, out = [], []
         for t, s, page, strips in zip(cols["item_table"], cols["text"], cols["page"], cols["strips"], strict=True):
             r, k = (s, set()) if s is None else repair(s, page, set(strips or ()), ch, t == "doc_tables")

@@ -109,6 +109,37 @@ def test_repair_kinds(channel):
     assert p2_scans.repair("", None, set(), channel, False) == ("", set())
 
 
+def test_page_figures():
+    yes = [("iv", 4), ("xii", 12), ("XL", 40), ("vii", None), ("lv", 4), ("- 7 -", 7), ("Page 7 of 20", None), ("- S -", 5), ("7", 7), ("第  3  页", 3)]
+    no = [("iv", 5), ("mix", 9), ("ill", None), ("2031", 7), ("- S -", 6), ("a", None), ("", None), ("i i", 1)]
+    assert all(p2_scans.is_page(*x) for x in yes) and not any(p2_scans.is_page(*x) for x in no)
+
+
+def test_long_strips_and_lines(channel):
+    strip = "Kova Filings of the supervisory board " * 8
+    kinds = p2_scans.repair(f"text before\n{strip.strip()}\nand after", 1, {p2_scans.py_folded(strip)}, channel, False)[1]
+    assert kinds == {"running_header"}
+
+
+def test_model_of_many_tasks_and_full_tables(spark, monkeypatch):
+    df = spark.createDataFrame([(f"the trustee must convene {i % 5} meetings 发行人应当",) for i in range(60)], "text string").repartition(7)
+    whole = p2_scans.language_model(df)
+    monkeypatch.setattr(p2_scans, "FAN_IN", 2)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, p2_scans.language_model(df), strict=True)) and whole[0].sum() == 60 * 5
+    full = [x + np.uint32(1000) for x in whole]
+    assert p2_scans.Channel(full).count("trustee") == 60 and p2_scans.Channel(full).count("trustce") == 0 and p2_scans.Channel(full).known > 5
+
+
+def test_confusions_are_estimated(spark, channel):
+    class Model:
+        value = [channel.words, channel.pairs, channel.han]
+
+    df = spark.createDataFrame([("the trustce must convcne a meeting",)] * 30 + [(None,), ("",)], "text string")
+    c = p2_scans.confusions(df, Model)
+    assert c["c", "e"] > p2_scans.CONFUSE > c["o", "a"] and p2_scans.confusions(df.limit(0), Model) == {}
+    assert p2_scans.Channel(Model.value, c).repair_line("the trustce") == "the trustee"
+
+
 def test_scan_edges(spark):
     data = [("doc_blocks", f"b{i}", "d", None if i % 2 else i, "text", t) for i, t in enumerate(TEXTS)] + [("doc_blocks", f"h{i}", "d", i, "text", "KOVA Filings 12" if i == 1 else "Kova Filings 12") for i in range(3)]
     df = spark.createDataFrame(data, "item_table string, item_id string, doc_id string, page int, type string, text string")
