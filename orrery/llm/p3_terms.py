@@ -59,8 +59,13 @@ def scored(spark, sf_dir) -> DataFrame:
 
 
 def p3_found(spark, sf_dir):
-    """Terms of at least 3 chunks of a document and of at most 5 documents."""
-    return scored(spark, sf_dir).where("n_chunks >= 3 and df <= 5").select("doc_id", "term")
+    """Scored terms of at least 3 chunks of a document and of at most 5 documents."""
+    return scored(spark, sf_dir).where("n_chunks >= 3 and df <= 5 and score is not null").select("doc_id", "term")
+
+
+def p3_scores(spark, sf_dir):
+    """The score of every term of every document."""
+    return scored(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
 def p3_top_terms(spark, sf_dir):
@@ -71,18 +76,21 @@ def p3_top_terms(spark, sf_dir):
     return scored(spark, sf_dir).where("score > 0").withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("doc_id", "term", "rank", "tf", "df", F.round("score", 6).alias("score"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_top_terms": p3_top_terms}
+QUERIES = {"p3_found": p3_found, "p3_scores": p3_scores, "p3_top_terms": p3_top_terms}
 
-ORACLE = {
-    "p3_found": """
+TERMS = """
 with c as (select distinct chunk_id, doc_id, text from doc_chunks where text is not null and doc_id is not null),
 t as (
   select chunk_id, doc_id, unnest(regexp_extract_all(text, '《([^《》]+)》', 1)) as term from c
-  union
+  union all
   select chunk_id, doc_id, lower(x) from (select chunk_id, doc_id, unnest(regexp_extract_all(regexp_replace(text, '《[^《》]*》', ' ', 'g'),
     '[A-Za-zÀ-ÖØ-öø-ÿ0-9]+(?:-[A-Za-zÀ-ÖØ-öø-ÿ0-9]+)*')) as x from c) where length(x) >= 3 and not regexp_full_match(x, '[0-9-]+')),
-n as (select doc_id, term, count(distinct chunk_id) as k from t group by all),
-d as (select term, count(*) as df from n group by term)
-select doc_id, term from n join d using (term) where k >= 3 and df <= 5
-"""
+n as (select doc_id, term, count(*) as tf, count(distinct chunk_id) as n_chunks from t group by all),
+d as (select term, count(*) as df, sum(tf)::bigint as cf from n group by term),
+z as (select count(distinct doc_id)::double as n_docs from doc_chunks),
+s as (select doc_id, term, tf, n_chunks, df, cf, tf * (-log2(df / n_docs) + log2(1 - exp(-cf / n_docs))) as score from n join d using (term), z)"""
+ORACLE = {
+    "p3_found": TERMS + " select doc_id, term from s where n_chunks >= 3 and df <= 5",
+    "p3_scores": TERMS + " select doc_id, term, tf, n_chunks, df, cf, round(score, 6) as score from s",
+    "p3_top_terms": TERMS + " select * from (select doc_id, term, row_number() over (partition by doc_id order by score desc, term) as rank, tf, df, round(score, 6) as score from s where score > 0) where rank <= 10",
 }

@@ -1,10 +1,11 @@
 """Splitting oversized texts at natural boundaries by lexical cohesion.
 
 Boundaries lie after the sentence marks, line feeds and full stops TESTDATA.md names. At each, the texts of up to three sentences on
-either side are compared (cosine of hashed character pairs); a low value between higher neighbours is a valley. Each piece ends at the deepest
-valley inside its size window (its second half); where the window has none, at the last boundary before; where there is no boundary within the
-limit at all, at the limit, and the cut is called forced. Consecutive pieces overlap by `overlap` characters, by less only where a natural
-piece fills the limit itself.
+either side are compared (cosine of hashed character pairs); a low value between higher neighbours is a valley. Each piece after the first repeats `overlap` characters of
+the one before, so it has room for limit - overlap new ones. It ends at the deepest valley inside its size window (the second half of that room); where the window has
+none, at the last boundary before; where there is no boundary within the room at all, after the last comma of the window, else between words, else at its end. That
+cut is called forced if the stretch between the boundaries is longer than the limit itself. An overlap that would begin inside a word begins with the word, as far as
+the limit lets it; it is never shorter than asked.
 
 Null and short texts give no pieces (they need none); repeated rows give one set of pieces; empty tables give an empty result.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from orrery.llm.common import codes, map_arrow, passes
 from orrery.tables import table
 
-LIMIT, OVERLAP, SIDE, BINS = 400, 40, 3, 64
+LIMIT, OVERLAP, SIDE, BINS, BLOCK = 400, 40, 3, 64, 20_000
 MARKS = re.compile(r"[。！？；!?;\n]|\.(?=[ \n])")
 
 
@@ -31,22 +32,36 @@ def boundaries(text: str) -> np.ndarray:
     return np.array([0, *ends] + ([len(text)] if not ends or ends[-1] < len(text) else []), dtype=np.int64)
 
 
+def cohesion(c: np.ndarray, lens: np.ndarray, first: np.ndarray, n_sent: np.ndarray) -> np.ndarray:
+    """Similarity of the SIDE sentences before and after each sentence's start, a block of BLOCK sentences at a time."""
+    n = len(lens)
+    at = np.concatenate([[0], np.cumsum(lens)])
+    lo, hi = np.repeat(first[:-1], n_sent), np.repeat(first[1:], n_sent)
+    sim = np.zeros(n)
+    for x in range(0, n, BLOCK):
+        y = min(n, x + BLOCK)
+        p, q = max(0, x - SIDE), min(n, y + SIDE)
+        t = c[at[p] : at[q]]
+        if len(t) < 2:
+            continue
+        sent = np.repeat(np.arange(q - p), lens[p:q])
+        pair = ((t[:-1] * 1_000_003 + t[1:]) * 2_654_435_761 >> 20) & (BINS - 1)
+        same = sent[:-1] == sent[1:]
+        m = np.bincount(sent[:-1][same] * BINS + pair[same], minlength=(q - p) * BINS).reshape(-1, BINS)
+        cs = np.concatenate([np.zeros((1, BINS), np.int64), np.cumsum(m, axis=0)])
+        k = np.arange(x, y)
+        left = (cs[k - p] - cs[np.maximum(lo[x:y], k - SIDE) - p]).astype(np.float32)
+        right = (cs[np.minimum(hi[x:y], k + SIDE) - p] - cs[k - p]).astype(np.float32)
+        norm = np.sqrt((left**2).sum(1) * (right**2).sum(1))
+        sim[x:y] = np.where(norm > 0, (left * right).sum(1) / np.maximum(norm, 1e-9), 0.0)
+    return sim
+
+
 def valley_depths(texts: list[str], bounds: list[np.ndarray]) -> list[np.ndarray]:
     """Depth of the cohesion valley at each boundary of each text (0 at its ends)."""
     n_sent = np.array([len(b) - 1 for b in bounds])
     first = np.concatenate([[0], np.cumsum(n_sent)])
-    c = codes("".join(texts)).astype(np.int64)
-    lens = np.concatenate([np.diff(b) for b in bounds])
-    sent = np.repeat(np.arange(len(lens)), lens)
-    pair = ((c[:-1] * 1_000_003 + c[1:]) * 2_654_435_761 >> 20) & (BINS - 1)
-    same = sent[:-1] == sent[1:]
-    m = np.bincount(sent[:-1][same] * BINS + pair[same], minlength=len(lens) * BINS).reshape(-1, BINS).astype(np.float32)
-    cs = np.concatenate([np.zeros((1, BINS), np.float32), np.cumsum(m, axis=0, dtype=np.float64).astype(np.float64)])
-    at = np.arange(len(lens))
-    lo, hi = np.repeat(first[:-1], n_sent), np.repeat(first[1:], n_sent)
-    left, right = cs[at] - cs[np.maximum(lo, at - SIDE)], cs[np.minimum(hi, at + SIDE)] - cs[at]
-    norm = np.sqrt((left**2).sum(1) * (right**2).sum(1))
-    sim = np.where(norm > 0, (left * right).sum(1) / np.maximum(norm, 1e-9), 0.0)
+    sim = cohesion(codes("".join(texts)).astype(np.int64), np.concatenate([np.diff(b) for b in bounds]), first, n_sent)
     out = []
     for k in range(len(bounds)):
         s = sim[first[k] : first[k + 1]].copy()
@@ -60,9 +75,33 @@ def valley_depths(texts: list[str], bounds: list[np.ndarray]) -> list[np.ndarray
     return out
 
 
-def cut_points(bounds: list[int], depth: list[float], length: int, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, bool]]:
+COMMA = re.compile(r".*(?:[，、：,:](?!\d)|—)", re.S)
+INSIDE = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ɏ'’.,-]")
+LETTER = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ɏ]")
+
+
+def between_words(text: str, at: int) -> bool:
+    """Whether no word or figure of an alphabet goes on over the position."""
+    return not (0 < at < len(text)) or not (INSIDE.match(text[at - 1]) and LETTER.match(text[at]))
+
+
+def word_break(text: str, lo: int, hi: int) -> int:
+    """The best place in (lo, hi] where no boundary is: after the last comma, between words, or hi."""
+    m = COMMA.match(text, lo, hi)
+    if m and m.end() > lo and between_words(text, m.end()):
+        return m.end()
+    return next((p for p in range(hi, lo, -1) if between_words(text, p)), hi)
+
+
+def overlap_start(text: str, pos: int, asked: int, most: int) -> int:
+    """Where the overlap of a piece from `pos` begins: `asked` characters before, or at the start of the word there if at most `most` are."""
+    at = max(0, pos - asked)
+    return next((p for p in range(at, max(-1, pos - most - 1), -1) if between_words(text, p)), at)
+
+
+def cut_points(bounds: list[int], depth: list[float], text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, bool]]:
     """(start of the overlap, start, end, forced) of the pieces; end - start of the overlap never exceeds the limit."""
-    out, pos, k = [], 0, 1
+    out, pos, k, length = [], 0, 1, len(text)
     while pos < length:
         room = limit if pos == 0 else limit - overlap
         end, forced = length, False
@@ -77,12 +116,9 @@ def cut_points(bounds: list[int], depth: list[float], length: int, limit: int =
                 j += 1
             if best or last:
                 end = best or last
-            elif k < len(bounds) and bounds[k] <= pos + limit:
-                end = bounds[k]
             else:
-                stretch_end = bounds[k] if k < len(bounds) else length
-                end, forced = min(pos + room, stretch_end), True
-        out.append((max(0, pos - min(overlap, limit - (end - pos))) if pos else 0, pos, end, forced))
+                end, forced = word_break(text, pos + room // 2, pos + room), bounds[k] - bounds[k - 1] > limit
+        out.append((overlap_start(text, pos, overlap, limit - (end - pos)) if pos else 0, pos, end, forced))
         pos = end
     return out
 
@@ -104,7 +140,7 @@ def split_oversized(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP
             bounds = [boundaries(t) for t in part]
             depths = valley_depths(part, bounds)
             for i, t, bd, d in zip(range(a, b), part, bounds, depths, strict=True):
-                for p, (o, s, e, forced) in enumerate(cut_points(bd.tolist(), d.tolist(), len(t), limit, overlap)):
+                for p, (o, s, e, forced) in enumerate(cut_points(bd.tolist(), d.tolist(), t, limit, overlap)):
                     for name, v in zip(out, (cols["item_table"][i], cols["item_id"][i], cols["doc_id"][i], cols["seq"][i], cols["section_path"][i], p, s, e, s - o, forced, t[o:e]), strict=True):
                         out[name].append(v)
         return out

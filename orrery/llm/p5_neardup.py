@@ -29,7 +29,7 @@ from orrery.session import cut_lineage
 from orrery.tables import table
 
 SHINGLE, LEAST, SIMILARITY = 5, 300, 0.7
-BANDS, ROWS, BINS, PERMUTATIONS, RADIUS, HOT = 40, 6, 120, 2, 36, 8192
+BANDS, ROWS, BINS, PERMUTATIONS, RADIUS, HOT, PROBE = 40, 6, 120, 2, 36, 8192, 64
 BITMAP_BITS = 1 << 25
 U = np.uint64
 
@@ -256,10 +256,20 @@ def _compare(defer: bool):
 
 def candidates(reps: DataFrame) -> DataFrame:
     """Distinct node pairs (a < b) whose sketches are close in some bucket; reps: node, keys, s1, s2."""
+    reps = cut_lineage(reps)  # read twice
     rows = reps.select(F.explode("keys").alias("bucket"), "node", "s1", "s2")
-    out = cut_lineage(rows.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_compare(True), CANDIDATES))
+    # buckets that one node in PROBE shows to be large never gather in a task; the others' sizes are seen where they meet
+    probe = reps.where(F.pmod("node", F.lit(PROBE)) == 0).select(F.explode("keys").alias("bucket")).groupBy("bucket").count()
+    large = cut_lineage(probe.where(F.col("count") >= max(2, HOT // PROBE)).select("bucket", F.lit(True).alias("large")))
+    if large.isEmpty():
+        small, spread_first = rows, None
+    else:
+        small, spread_first = rows.join(large, "bucket", "left_anti"), rows.join(large, "bucket", "left_semi")
+    out = cut_lineage(small.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_compare(True), CANDIDATES))
     pairs = out.where("b is not null").select("a", "b")
     hot = out.where("b is null").select("bucket", F.col("a").alias("node"), "s1", "s2")
+    if spread_first is not None:
+        hot = hot.unionByName(spread_first.select("bucket", "node", "s1", "s2"))
     if not hot.isEmpty():
         blocks = hot.groupBy("bucket").agg(F.ceil(F.count("*") * 2 / F.lit(HOT)).cast("int").alias("n"))
         hot = hot.join(blocks, "bucket").withColumn("i", F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")).cast("int"))
@@ -319,7 +329,7 @@ def exact(pairs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) ->
         at = np.mod(node.to_numpy(), BITMAP_BITS)
         return node.__class__((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
-    texts = rows.select(F.xxhash64("chunk_id").alias("node"), "chunk_id", "text").where(wanted("node")).dropDuplicates(["node"])
+    texts = rows.select(F.xxhash64("chunk_id").alias("node"), "chunk_id", "text").where(wanted("node")).dropDuplicates(["chunk_id"])
     with_a = pairs.join(texts.withColumnsRenamed({"node": "a", "chunk_id": "rep_a", "text": "text_a"}), "a")
     both = with_a.join(texts.withColumnsRenamed({"node": "b", "chunk_id": "rep_b", "text": "text_b"}), "b")
 
@@ -395,15 +405,23 @@ def components(links: DataFrame, a: str = "rep_a", b: str = "rep_b") -> DataFram
 
 
 def p5_groups(spark, sf_dir):
-    """One row per chunk that has a near copy or a copy: its group's smallest id and its text's number of links to other texts."""
+    """One row per chunk that has a near copy or a copy: its group's smallest id, its copies' smallest id and their text's number of links to other texts.
+
+    With `p5_links`, the links between those, every pair of near copies can be told.
+    """
     links, members = similar(table(spark, sf_dir, "doc_chunks"))
     comp = components(links)
     degree = links.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     m = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    return m.where("root is not null or n_copies > 1").select("chunk_id", F.coalesce("root", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    return m.where("root is not null or n_copies > 1").select("chunk_id", F.coalesce("root", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", F.col("rep").alias("copy_id"))
+
+
+def p5_links(spark, sf_dir):
+    """Links between different texts, each by its copies' smallest id."""
+    return similar(table(spark, sf_dir, "doc_chunks"))[0].select(F.least("rep_a", "rep_b").alias("copy_a"), F.greatest("rep_a", "rep_b").alias("copy_b"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups}
+QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups, "p5_links": p5_links}
 
 ORACLE = {
     "p5_found": r"""

@@ -12,6 +12,7 @@ leak nothing; items without text are never leaked; repeated items give one row;
 from __future__ import annotations
 
 import functools
+import heapq
 from collections import defaultdict
 
 import numpy as np
@@ -25,14 +26,13 @@ from orrery.tables import table
 SEED, LONGEST, COVERAGE, BLOCK_CHARS = 30, 50, 0.6, 5_000_000
 BASE = 0x9E3779B97F4A7C15 | 1
 TABLE_BITS = 22
-LAST = 0x32000
 
 
 @functools.cache
 def lower_table() -> np.ndarray:
     """Code point -> code point of its lower case if a letter or digit, else 0."""
     t = np.zeros(0x110000, dtype=np.uint32)
-    for cp in range(LAST):
+    for cp in range(0x110000):
         ch = chr(cp)
         if ch.isalnum():
             low = ch.lower()
@@ -94,16 +94,17 @@ def tiles(doc: str, item: str, seeds: list[tuple[int, int]], least: int = SEED)
             reach = i + hi
     out: list[tuple[int, int, int]] = []
     in_doc, in_item = np.zeros(len(doc), dtype=bool), np.zeros(len(item), dtype=bool)
-    found.sort(key=lambda x: (-x[0], x[1], x[2]))
-    while found:
-        n, i, j = found.pop(0)
+    heap = [(-n, i, j) for n, i, j in found]
+    heapq.heapify(heap)
+    while heap:
+        n, i, j = heapq.heappop(heap)
+        n = -n
         taken = in_doc[i : i + n] | in_item[j : j + n]
         if taken.any():  # what is left of it competes again by its length
             edges = np.flatnonzero(np.diff(np.concatenate([[1], taken.view(np.int8), [1]])))
             for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
                 if b - a >= least:
-                    found.append((b - a, i + a, j + a))
-            found.sort(key=lambda x: (-x[0], x[1], x[2]))
+                    heapq.heappush(heap, (a - b, i + a, j + a))
             continue
         in_doc[i : i + n], in_item[j : j + n] = True, True
         out.append((i, j, n))
@@ -144,6 +145,27 @@ def leaks(docs: DataFrame, items: DataFrame, id_: str = "doc_id", text: str = "t
     return out
 
 
+def _by_item(hit, doc, lo, hi, starts, it: Items):
+    """(document, item, diagonal runs' first seeds) of the hits; hit k stands in the items' windows lo[k] to hi[k].
+
+    Seeds that go on one diagonal step by step are one match, so only the first of each run is kept: a passage that many items share costs its runs,
+    not its characters. Documents are taken one after another.
+    """
+    order = np.argsort(doc, kind="stable")
+    cuts = np.flatnonzero(np.diff(doc[order])) + 1
+    for part in np.split(order, cuts) if len(order) else []:
+        n = hi[part] - lo[part]
+        at = np.repeat(lo[part], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        d = int(doc[part[0]])
+        pos, item, j = np.repeat(hit[part] - starts[d], n), it.item[at], it.at[at]
+        o = np.lexsort((pos, pos - j, item))
+        pos, item, j = pos[o], item[o], j[o]
+        new = np.concatenate([[True], (item[1:] != item[:-1]) | (pos[1:] - j[1:] != pos[:-1] - j[:-1]) | (pos[1:] != pos[:-1] + 1)])
+        pos, item, j = pos[new], item[new], j[new]
+        for run in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(item)) + 1):
+            yield d, int(item[run[0]]), list(zip(pos[run].tolist(), j[run].tolist(), strict=True))
+
+
 def _tile(block):
     state: dict = {}
 
@@ -167,14 +189,9 @@ def _tile(block):
             hit, lo, hi = hit[hi > lo], lo[hi > lo], hi[hi > lo]
             doc = np.searchsorted(ends, hit, side="right")
             inside = hit + SEED <= ends[doc]
-            seeds: dict[tuple[int, int], list] = defaultdict(list)
-            for p, d, x, y in zip(hit[inside].tolist(), doc[inside].tolist(), lo[inside].tolist(), hi[inside].tolist(), strict=True):
-                start = int(ends[d - 1]) if d else 0
-                for k in range(x, y):
-                    seeds[d, int(it.item[k])].append((p - start, int(it.at[k])))
-            for (d, i), s in seeds.items():
-                start = int(ends[d - 1]) if d else 0
-                t = tiles(c[start : ends[d]].tobytes().decode("utf-32-le", "surrogatepass"), it.text[i], s)
+            starts = np.concatenate([[0], ends[:-1]])
+            for d, i, s in _by_item(hit[inside], doc[inside], lo[inside], hi[inside], starts, it):
+                t = tiles(c[starts[d] : ends[d]].tobytes().decode("utf-32-le", "surrogatepass"), it.text[i], s)
                 if t:
                     q, part = it.keys[i]
                     for name, v in zip(out, (cols["doc_id"][a + d], q, part, len(t), max(x[2] for x in t), sum(x[2] for x in t) / len(it.text[i])), strict=True):

@@ -1,9 +1,11 @@
 """Languages of documents and of their segments: a linear-chain conditional random field over words.
 
-Words are runs of Latin letters or of Han characters; what lies between belongs to the word before. A word's features are itself in lower case (lexicon), its
-affixes and its inner n-grams, hashed; a capital halves their weight and more, as names tell little. Transitions between languages are learned with them, on at most MAX_SAMPLES labelled rows cut and joined into mixed sequences. Forward-backward runs
-over windows of WINDOW words with CONTEXT words on either side, all windows of a batch at once, and gives each word's language with its
-probability; every word of every document is labelled.
+Words are runs of Latin letters, of Han characters or of another script's letters, marks included; what lies between belongs to the word before. A word's features are
+itself in lower case (lexicon), its affixes and its inner n-grams, hashed; a capital halves their weight and more, as names tell little; a Han run has the features
+of its characters' kind. Transitions between languages are learned with them, on at most MAX_SAMPLES labelled rows cut and joined into mixed sequences, once for
+the same samples. Letters of other scripts are none of the languages': they are `other`, a further state of the chain, and so are Han characters among them. Forward-backward
+runs over windows of WINDOW words with CONTEXT words on either side, all windows of a batch at once, and gives each word's language with its
+probability; every word of every document is labelled. Texts in a further language of Latin script get the nearest of the six: none is trained for them.
 
 A document's language is the one most of its characters are in. Null, empty and letterless texts get no language (null, confidence 0); labels are read
 whatever their spelling. Repeated rows of an id give one row; empty tables give an empty result.
@@ -12,6 +14,9 @@ whatever their spelling. Repeated rows of an id give one row; empty tables give
 from __future__ import annotations
 
 import functools
+import hashlib
+import sys
+import unicodedata
 import zlib
 
 import numpy as np
@@ -25,7 +30,9 @@ from orrery.tables import table
 
 LANGS = ("zh", "en", "de", "fr", "es", "pt")
 MAX_SAMPLES, FEATURES, WINDOW, CONTEXT, LEAST, SURE, CAPITAL, STAY = 3000, 1 << 15, 64, 24, 100, 0.8, 0.3, 0.8
-HAN = "一"
+HAN, OTHER = "一", "other"
+#: Scores of the state `other`: for a letter of another script, and for a Han run against Chinese.
+FOREIGN, AMONG = 12.0, 3.0
 # Codes and names by which a label means one of the languages.
 NAMES = {
     "zh": "zh zho chi cmn chinese mandarin 中文 汉语 漢語",
@@ -37,7 +44,8 @@ NAMES = {
 }
 NONE = ("", "und", "unknown")
 MEANS = {x: k for k, v in NAMES.items() for x in v.split()}
-WORD = regex.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[㐀-鿿]+")
+WORD = regex.compile(r"[\p{Latin}\p{M}]+|\p{Han}+")
+HANS = regex.compile(r"\p{Han}")
 U = np.uint64
 
 
@@ -51,7 +59,7 @@ def meaning(label: str):
 
 @functools.lru_cache(200_000)
 def features(word: str) -> tuple[int, ...]:
-    w = f"<{word.lower()}>"
+    w = f"<{unicodedata.normalize('NFC', word.lower())}>"
     out = {"=" + w}
     out |= {f"p{w[:k]}" for k in (2, 3, 4)} | {f"s{w[-k:]}" for k in (2, 3, 4, 5)}
     out |= {w[i : i + k] for k in (2, 3) for i in range(len(w) - k + 1)}
@@ -95,7 +103,7 @@ def weight(word: str) -> float:
 
 
 def words(text: str) -> list[str]:
-    return [HAN if m >= "㐀" else m for m in WORD.findall(text)]
+    return [HAN if HANS.match(m) else m for m in WORD.findall(text) if HANS.match(m) or any(map(str.isalpha, m))]
 
 
 def train(samples: list[tuple[str, str]], rounds: int = 60, seed: int = 7) -> dict[str, np.ndarray]:
@@ -147,16 +155,57 @@ def train(samples: list[tuple[str, str]], rounds: int = 60, seed: int = 7) -> di
     return {"w": p["w"].astype(np.float32), "a": p["a"], "s": p["s"]}
 
 
+_FITTED: dict[str, dict[str, np.ndarray]] = {}
+
+
+def fitted(samples: tuple[tuple[str, str], ...]) -> dict[str, np.ndarray]:
+    """The field of these samples, trained once a process."""
+    key = hashlib.blake2b(repr(samples).encode("utf-8", "surrogatepass")).hexdigest()
+    if key not in _FITTED:
+        _FITTED.clear()
+        _FITTED[key] = train(list(samples))
+    return _FITTED[key]
+
+
 @functools.cache
 def classes() -> np.ndarray:
-    """Of a code point: 1 Latin letter, 2 Han, else 0."""
-    kind = np.zeros(0x110000, np.uint8)
-    for cp in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)]:
-        kind[cp] = cp not in (0xD7, 0xF7)
-    kind[0x3400:0xA000] = 2
+    """Of a code point: 1 Latin letter, 2 Han, 3 another script's letter, 4 mark, else 0."""
+    kind = np.zeros(sys.maxunicode + 1, np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
+    for k, of in ((3, r"\p{L}"), (1, r"(?=\p{L})\p{Latin}"), (2, r"(?=\p{L})\p{Han}"), (4, r"\p{M}")):
+        kind[codes("".join(regex.findall(of, every)))] = k
     return kind
 
 
+def kinds(c: np.ndarray) -> np.ndarray:
+    """Classes of a text's characters: a mark goes with what it stands on, a foreign letter or two inside a Latin word with the word."""
+    kind = classes()[c]
+    marks = np.flatnonzero(kind == 4)
+    if len(marks):
+        base = np.where(kind == 4, 0, np.arange(len(c)))
+        kind[marks] = kind[np.maximum.accumulate(base)[marks]]
+        kind[kind == 4] = 0
+    strange = np.flatnonzero(kind == 3)
+    if len(strange):
+        start = strange[np.concatenate([[True], np.diff(strange) > 1])]
+        stop = strange[np.concatenate([np.diff(strange) > 1, [True]])] + 1
+        padded = np.concatenate([[0], kind, [0]])
+        inside = (stop - start <= 2) & ((padded[start] == 1) | (padded[stop + 1] == 1))
+        for a, b in zip(start[inside].tolist(), stop[inside].tolist(), strict=True):
+            kind[a:b] = 1
+    return kind
+
+
+def with_other(model: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Transition and start scores with the state `other`, which changes as the languages do on average."""
+    k = len(LANGS)
+    a, s = np.zeros((k + 1, k + 1), np.float32), np.zeros(k + 1, np.float32)
+    a[:k, :k], s[:k] = model["a"], model["s"]
+    off = (model["a"].sum() - np.trace(model["a"])) / max(1, k * k - k)
+    a[k, :], a[:, k], a[k, k], s[k] = off, off, np.trace(model["a"]) / k, model["s"].mean()
+    return a, s
+
+
 class Labeller:
     """Labels the words of a batch of texts at once."""
 
@@ -164,7 +213,10 @@ class Labeller:
         self.model = model
         self.known = np.zeros(0, np.uint64)
         self.score = np.zeros((0, len(LANGS)), np.float32)
-        self.han = np.array([12.0] + [0.0] * (len(LANGS) - 1), np.float32)
+        self.a, self.s = with_other(model)
+        han = model["w"][list(features(HAN))].sum(0)
+        self.han = np.append(han, han[0] - AMONG).astype(np.float32)
+        self.foreign = np.array([-FOREIGN] * len(LANGS) + [FOREIGN], np.float32)
 
     def scores(self, h: np.ndarray, first: np.ndarray, length: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Emission scores of words by hash; new ones are scored from their features."""
@@ -190,7 +242,7 @@ class Labeller:
         c = codes("".join(texts))
         ends = np.cumsum([len(t) for t in texts])
         begin = ends - [len(t) for t in texts]
-        kind = classes()[c]
+        kind = kinds(c)
         edge = np.zeros(len(c) + 1, bool)
         edge[begin[begin < len(c)]] = True
         first = np.flatnonzero((kind != 0) & (edge[:-1] | (kind != np.concatenate([[0], kind[:-1]]))))
@@ -208,9 +260,10 @@ class Labeller:
             cs = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])
             h = cs[stop_at] - cs[first]
         e = np.tile(self.han, (len(first), 1))
+        e[kind[first] == 3] = self.foreign
         latin = kind[first] == 1
         if latin.any():
-            e[latin] = self.scores(h[latin], first[latin], length[latin], c)
+            e[latin] = np.pad(self.scores(h[latin], first[latin], length[latin], c), ((0, 0), (0, 1)), constant_values=-FOREIGN)
         text = np.searchsorted(ends, first, side="right")
         # windows: WINDOW words of one text each, with context
         n = np.bincount(text, minlength=len(texts))
@@ -219,7 +272,7 @@ class Labeller:
         core = np.flatnonzero(nth % WINDOW == 0)
         lo = np.maximum(tstart[text[core]], core - CONTEXT)
         hi = np.minimum((tstart + n)[text[core]], core + WINDOW + CONTEXT)
-        gamma = np.empty((len(first), len(LANGS)), np.float32)
+        gamma = np.empty((len(first), len(LANGS) + 1), np.float32)
         size = WINDOW + 2 * CONTEXT
         order = np.argsort(hi - lo, kind="stable")
         for s in range(0, len(core), 2048):
@@ -227,7 +280,7 @@ class Labeller:
             t = int((hi[o] - lo[o]).max())
             idx = lo[o, None] + np.arange(min(size, t))
             mask = idx < hi[o, None]
-            g = forward_backward(e[np.minimum(idx, len(first) - 1)], self.model["a"].astype(np.float32), self.model["s"].astype(np.float32), mask)
+            g = forward_backward(e[np.minimum(idx, len(first) - 1)], self.a, self.s, mask)
             own = mask & (idx >= core[o, None]) & (idx < core[o, None] + WINDOW)
             gamma[idx[own]] = g[own]
         lang = gamma.argmax(1)
@@ -243,7 +296,7 @@ SEGMENT = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.i
 def segments(docs: DataFrame, samples: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start, end, lang, confidence): each text cut into its stretches of one language, in characters."""
     rows = samples.where("lang is not null and text is not null").orderBy(F.xxhash64("sample_id"), "sample_id").limit(MAX_SAMPLES).select("lang", "text").collect()
-    model = docs.sparkSession.sparkContext.broadcast(train(sorted({(r["lang"], r["text"]) for r in rows})))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(tuple(sorted({(r["lang"], r["text"]) for r in rows}))))
     state: dict = {}
 
     def fn(cols):
@@ -261,7 +314,7 @@ def segments(docs: DataFrame, samples: DataFrame, id_: str = "doc_id", text: str
             out[0] += [cols["doc_id"][a + d] for d in doc[new].tolist()]
             out[1] += start[new].tolist()
             out[2] += end[stop - 1].tolist()
-            out[3] += [LANGS[x] for x in lang[new].tolist()]
+            out[3] += [(*LANGS, OTHER)[x] for x in lang[new].tolist()]
             out[4] += conf.tolist()
         return dict(zip(SEGMENT.names, out, strict=True))
 
@@ -283,7 +336,7 @@ def p9_found(spark, sf_dir):
     """Languages of at least LEAST characters of a document that its label doesn't mean."""
     labels = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), meaning("lang").alias("means")).distinct()
     s = shares(found_segments(spark, sf_dir).where(F.col("confidence") >= SURE)).where(F.col("n_chars") >= LEAST)
-    return s.join(labels, "doc_id").where("lang != means").select("doc_id", "lang").distinct()
+    return s.join(labels, "doc_id").where(F.col("lang").isin(*LANGS) & (F.col("lang") != F.col("means"))).select("doc_id", "lang").distinct()
 
 
 def p9_documents(spark, sf_dir):

@@ -167,16 +167,37 @@ def test_terms(spark):
 
 def test_split_invariants():
     rnd = random.Random(3)
-    for _ in range(200):
-        text = "".join(rnd.choice(["word ", "字", "。", ". ", "\n", "x" * rnd.randint(1, 80)]) for _ in range(rnd.randint(1, 300)))
+    for _ in range(300):
+        text = "".join(rnd.choice(["word ", "字", "，", "。", ". ", "\n", "3,141.5 ", "x" * rnd.randint(1, 80)]) for _ in range(rnd.randint(1, 300)))
         if len(text) <= 100:
             continue
         b = p4_split.boundaries(text)
         d = p4_split.valley_depths([text], [b])[0]
-        out = p4_split.cut_points(b.tolist(), d.tolist(), len(text), 100, 10)
+        out = p4_split.cut_points(b.tolist(), d.tolist(), text, 100, 10)
         assert "".join(text[s:e] for _, s, e, _ in out) == text and all(e - o <= 100 for o, _, e, _ in out)
         assert any(f for *_, f in out) == (np.diff(b).max() > 100)
-        assert all(s - o <= 10 for o, s, _, _ in out) and all(s - o == min(10, 100 - (e - s), s) for o, s, e, _ in out[1:])
+        assert all(s - o >= min(10, s) for o, s, e, _ in out)
+        for o, s_, e, _ in out[:-1]:
+            if e not in set(b.tolist()):  # off the boundaries: none was in the room, and no word is cut that could be spared
+                assert not any(s_ < x <= s_ + (100 if s_ == 0 else 90) for x in b.tolist())
+                assert p4_split.between_words(text, e) or not any(p4_split.between_words(text, p) for p in range(s_ + 50, e))
+
+
+def test_split_keeps_overlap_and_words():
+    for text in (". ".join(["ab cd efg " * 38] * 4), "lorem ipsum dolor sit amet, consectetur " * 40):
+        b = p4_split.boundaries(text)
+        out = p4_split.cut_points(b.tolist(), p4_split.valley_depths([text], [b])[0].tolist(), text)
+        assert all(s - o >= 40 and e - o <= 400 for o, s, e, _ in out[1:])
+        assert all(p4_split.between_words(text, e) and (s - o == 400 - (e - s) or p4_split.between_words(text, o)) for o, s, e, _ in out)
+
+
+def test_cohesion_in_blocks_equals_whole(monkeypatch):
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice(["word ", "字符。", ". ", "\n"]) for _ in range(n)) for n in (300, 5, 1, 700)]
+    bounds = [p4_split.boundaries(t) for t in texts]
+    whole = p4_split.valley_depths(texts, bounds)
+    monkeypatch.setattr(p4_split, "BLOCK", 7)
+    assert all(np.allclose(a, b) for a, b in zip(whole, p4_split.valley_depths(texts, bounds), strict=True))
 
 
 def test_split_edges(spark):
@@ -228,6 +249,8 @@ def test_neardup_brute_force(spark, monkeypatch):
     monkeypatch.setattr(p5_neardup, "HOT", 4)  # hot buckets go through blocks and give the same
     again = {tuple(sorted((r["rep_a"], r["rep_b"]))) for r in p5_neardup.similar(df)[0].collect()}
     assert again == want
+    monkeypatch.setattr(p5_neardup, "PROBE", 1)  # and so do buckets known to be large before they meet
+    assert {tuple(sorted((r["rep_a"], r["rep_b"]))) for r in p5_neardup.similar(df)[0].collect()} == want
 
 
 def test_hot_bucket_is_deferred_over_batch_borders():
@@ -257,12 +280,33 @@ def test_neardup_empty(spark):
 
 def test_forms():
     pairs = [("Ｒｅｐｏｒｔ", "Report"), ("Mare\u0301na", "Maréna"), ("an\u200cnu\u0430l", "annual"), ("a\u00a0b\u3000c", "a b c"), ("ﬁne", "fine"), ("⽇⼈", "日人"), ("，％", ",%"), ("\u00adx\ufeff", "x"), ("Ｍａｒｅ\u0301ｎａ", "Maréna")]
-    assert [p6_forms.form(a) for a, _ in pairs] == [p6_forms.form(b) for _, b in pairs]
+    t = p6_forms.plain()
+    t.check_conflicts()  # all code points: fixed points, and composed as decomposed
+    assert [t.form(a) for a, _ in pairs] == [t.form(b) for _, b in pairs]
+    for x in ["Ёлка, й ї ў", "Άέ ὕ", "Việt Nam", "각", "क़"]:
+        assert t.form(unicodedata.normalize("NFC", x)) == t.form(unicodedata.normalize("NFD", x))
     for a, b in [("2²", "22"), ("①", "1"), ("é", "e"), ("A", "a"), ("國", "国")]:
-        assert p6_forms.form(a) != p6_forms.form(b)
+        assert t.form(a) != t.form(b)
     texts = [x for p in pairs for x in p] + [t for t in TEXTS if t is not None] + ["한글", "\u1112\u1161\u11ab"]
-    assert p6_forms.forms(texts) == [p6_forms.form(t) for t in texts] and [p6_forms.form(x) for x in p6_forms.forms(texts)] == p6_forms.forms(texts)
-    assert all(unicodedata.normalize("NFC", x) == x for x in p6_forms.forms(["e\u0301", "u\u0308", "o\u0302"]))
+    assert t.forms(texts) == [t.form(x) for x in texts] and [t.form(x) for x in t.forms(texts)] == t.forms(texts)
+    assert all(unicodedata.normalize("NFC", x) == x for x in t.forms(["e\u0301", "u\u0308", "o\u0302"]))
+
+
+def test_confusables_of_other_scripts(spark):
+    more = p6_forms.confusables(spark)
+    t = p6_forms.compiled(spark).value
+    assert len(more) > 60 and all(chr(k).isupper() == v.isupper() for k, v in more.items())
+    for a, b in [("\u03bf", "o"), ("\u0555", "O"), ("\u04cf", "i"), ("\u13aa", "A"), ("\u03bd", "v"), ("a\U000e0101b", "ab"), ("\U000e0041x", "x")]:
+        assert t.form(a) == t.form(b), (a, b)
+    for a, b in [("l", "I"), ("1", "l"), ("O", "0"), ("я", "R"), ("漢", "汉")]:
+        assert t.form(a) != t.form(b)
+
+
+def test_pairs_of_composed_and_decomposed(spark, monkeypatch):
+    text = "Ёжик в тумане идёт домой"
+    data = [("t", "a", unicodedata.normalize("NFC", text)), ("t", "b", unicodedata.normalize("NFD", text)), ("t", "c", text.upper())]
+    monkeypatch.setattr(p6_forms, "items", lambda *_: spark.createDataFrame(data, "item_table string, id string, text string"))
+    assert rows(p6_forms.p6_found(spark, "")) == [("t", "a", "b")]
 
 
 def test_form_pairs_and_hot_groups(spark, monkeypatch):
@@ -340,6 +384,17 @@ def test_tiles_and_leaks(spark):
     assert p8_leaks.leaks(d.limit(0), items).count() == 0 and p8_leaks.leaks(d, items.limit(0)).count() == 0
 
 
+def test_shared_boilerplate_and_many_tiles(spark):
+    same = "the reserve of the company falls short of the agreed value in this year and the next"
+    items = spark.createDataFrame([(f"q{i}", "passage", f"{same} item {i} " + "xyz" * i) for i in range(200)], "qid string, part string, text string")
+    docs = spark.createDataFrame([(1, f"before {same} after"), (2, same * 30)], "doc_id long, text string")
+    got = p8_leaks.leaks(docs, items).where("longest >= 50").groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in got} == {1: 200, 2: 200}
+    doc = "".join(random.Random(3).choice("abcd") for _ in range(3000))
+    seeds = [(i, i) for i in range(0, 2971, 7)]
+    assert p8_leaks.tiles(doc, doc, seeds) == [(0, 0, 3000)]
+
+
 def test_rolling_hash_equals_itself():
     c = np.array([ord(x) for x in "abcdefgh" * 20], dtype=np.uint32)
     h = p8_leaks.rolling(c, 10)
@@ -390,6 +445,34 @@ def test_languages(spark):
     assert [r[0] for r in m] == ["zh", "zh", "en", "de", "", "", "", "?", "pt", ""]
 
 
+def test_other_scripts_marks_and_letters(spark):
+    import pyarrow.parquet as pq
+
+    rows_ = tuple(sorted({(r["lang"], r["text"]) for r in pq.read_table("/root/testdata/sf0.001/lang_samples.parquet").to_pylist()}))
+    lab = p9_language.Labeller(p9_language.fitted(rows_))
+    assert p9_language.fitted(rows_) is p9_language.fitted(rows_)
+
+    def langs(text):
+        _, a, b, lang, _ = lab.label([text])
+        out = {}
+        for x, y, k in zip(a.tolist(), b.tolist(), lang.tolist(), strict=True):
+            name = (*p9_language.LANGS, p9_language.OTHER)[k]
+            out[name] = out.get(name, 0) + y - x
+        return out
+
+    ru = "Доверительный управляющий обязан созвать собрание. " * 6
+    got = langs(ru + "The trustee must convene a meeting of the holders this year.")
+    assert got["other"] == len(ru) and got["en"] > 50
+    assert set(langs("受託者は会議を招集しなければならない。これは日本語の文章です。")) == {"other"}
+    assert set(langs("受托管理人应当召开会议，因为公司的准备金低于约定的金额。")) == {"zh"}
+    assert p9_language.words("cœur Œuvre") == ["cœur", "Œuvre"] and p9_language.features("re\u0301serve") == p9_language.features("r\u00e9serve")
+    k = p9_language.kinds(common.codes("annu\u0430l \u0430\u0431\u0432\u0433 e\u0301"))
+    assert k.tolist() == [1] * 6 + [0] + [3] * 4 + [0, 1, 1]
+    docs = spark.createDataFrame([(1, ru, None)], "doc_id long, text string, lang string")
+    s = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(SAMPLES * 3)], "sample_id int, lang string, text string")
+    assert {r["lang"] for r in p9_language.segments(docs, s).collect()} == {"other"}
+
+
 def test_heldout_accuracy(spark):
     import pyarrow.parquet as pq
 
