@@ -13,40 +13,68 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HAN = "一-鿿"
-# Han numerals, raised and lowered digits.
-NUMERALS, UNITS = "零一二三四五六七八九", {"十": 10, "百": 100, "千": 1000}
-RAISED, LOWERED, PLAIN = "⁰¹²³⁴⁵⁶⁷⁸⁹", "₀₁₂₃₄₅₆₇₈₉", "0123456789"
-ROMAN = "ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ"
+#: Han characters, their marks and full-width forms; horizontal white space.
+WIDE, BLANK = "一-鿿\u3000-〿\uff00-\uffef", r"[ \t\r\x0B\f\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# Han numerals, raised and lowered digits, circled numbers, letters of Roman figures.
+NUMERALS, ORDINALS = "零一二三四五六七八九", "一二三四五六七八九十百零〇"
+NUMBERS = "一二三四五六七八九十百零两〇"
+RAISED, LOWERED, PLAIN = "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿ", "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎", "0123456789+-=()n"
+LOWERED_LETTERS, PLAIN_LETTERS = "ₐₑₒₓₕₖₗₘₙₚₛₜ", "aeoxhklmnpst"
+CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
+ROMAN = dict(zip("I II III IV V VI VII VIII IX X XI XII".split(), "ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅪⅫ", strict=True))
 
 
 def sub(c, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(c, pattern, to)
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize(c: Column) -> Column:
-    """Spaces between Han characters, and between them and digits, go; blanks are squeezed and trimmed."""
-    x = c
-    for _ in range(2):  # neighbours overlap by one character
-        x = sub(x, f"([{HAN}])[ \\t]+([{HAN}0-9])", "$1$2")
-        x = sub(x, f"([0-9])[ \\t]+([{HAN}])", "$1$2")
-    return F.trim(sub(x, "[ \\t]+", " "))
+    """Spaces between wide characters, and between them and digits, go; blanks are squeezed and the ends trimmed."""
+    x = sub(c, f"(?<=[{WIDE}]){BLANK}+(?=[{WIDE}])")
+    x = sub(x, f"(?<=[0-9]){BLANK}+(?=[{WIDE}])|(?<=[{WIDE}]){BLANK}+(?=[0-9])")
+    return stripped(sub(x, "[ \\t]{2,}", " "))
+
 
+def stripped(c: Column) -> Column:
+    """Without white space at the ends."""
+    return sub(c, f"^(?:{BLANK}|\n)+|(?:{BLANK}|\n)+$")
 
-MARKERS = [(f"^第[0-9{NUMERALS}十百千]+[编篇部分]", 1), (f"^第[0-9{NUMERALS}十百千]+章", 2), (f"^第[0-9{NUMERALS}十百千]+节", 3), (f"^[{NUMERALS}十]+、", 4), (f"^[（(][{NUMERALS}十]+[）)]", 5), ("^[0-9]+[.、][^0-9]", 6)]
+
+TITLE = "[一-龥][^。；：，%\\n]{1,21}"
+#: What a heading begins with, the ranks of the families, in the order they are tried; dotted numbers get one more than their dots.
+FAMILIES = [
+    (f"^[0-9]{{1,2}}(?:\\.[0-9]{{1,3}})+[.、．]?[ \\t]*{TITLE}$", None),
+    (f"^[一二三四五六七八九十]{{1,3}}[、．.][ \\t]*{TITLE}$", 3),
+    (f"^[（(][一二三四五六七八九十]{{1,3}}[)）][ \\t]*{TITLE}$", 4),
+    (f"^[0-9]{{1,2}}[、．.][ \\t]*{TITLE}$", 5),
+    (f"^[（(][0-9]{{1,2}}[)）][ \\t]*{TITLE}$", 6),
+]
 
 
 def heading_rank(c: Column) -> Column:
-    """Rank of a heading line by its marker family, else null."""
-    x = F.trim(c)
-    out = None
-    for pattern, rank in MARKERS:
-        out = F.when(x.rlike(pattern), rank) if out is None else out.when(x.rlike(pattern), rank)
+    """Rank of a heading line by its marker family (1 the highest), else null; `heading` gives its text too."""
+    x = stripped(c)
+    top = F.substring(x, 1, 6)
+    out = F.when(x.rlike(f"^第[{ORDINALS}0-9]+[章节编]") & (F.length(x) <= 40), F.when(top.contains("章") | top.contains("编"), 1).otherwise(2))
+    for pattern, rank in FAMILIES:
+        out = out.when(x.rlike(pattern), F.regexp_count(F.regexp_extract(x, "^[0-9.]*[0-9]", 0), F.lit("\\.")) + 1 if rank is None else F.lit(rank))
     return out
 
 
+def heading(c: Column) -> Column:
+    """(rank, text) of a heading line, else null."""
+    r = heading_rank(c)
+    return F.when(r.isNotNull(), F.struct(r.alias("rank"), stripped(c).alias("text")))
+
+
 def article_no(c: Column) -> Column:
     """The clause number a line begins with, else ''."""
-    return F.regexp_extract(F.trim(c), f"^(第[0-9{NUMERALS}十百千]+条|[0-9]+(?:\\.[0-9]+)+)", 1)
+    return F.regexp_extract(stripped(c), f"^第[{ORDINALS}0-9]+条", 0)
 
 
 def strip_latex(c: Column) -> Column:
@@ -97,42 +125,61 @@ def caption_like(c: Column) -> Column:
     return F.coalesce((han >= 4) & (han > digits), F.lit(False))
 
 
-@F.pandas_udf(T.IntegerType())
-def han_number(s: pd.Series) -> pd.Series:
-    """Han numeral to integer, null if none (Arrow: a fold over characters)."""
+def han_number(c: Column) -> Column:
+    """Value of a Han numeral below a thousand, null if it has none: a missing hundreds or tens figure counts as one."""
+    digit = lambda x: F.coalesce(F.nullif(F.instr(F.lit("一二三四五六七八九"), x), F.lit(0)), F.when(x == "两", 2))
+    one = lambda x: F.when(F.length(x) == 1, F.coalesce(digit(x), F.lit(1))).otherwise(F.lit(1))
 
-    def one(x):
-        if x is None or not x or any(c not in NUMERALS and c not in UNITS for c in x):
-            return None
-        total, digit = 0, None
-        for c in x:
-            if c in UNITS:
-                total += (1 if digit is None else digit) * UNITS[c]
-                digit = None
-            else:
-                digit = NUMERALS.index(c)
-        return total + (digit or 0)
+    def below(x, sign, value, rest):
+        """The figure before a sign times its value, and what `rest` makes of what follows the sign."""
+        return F.when(x.contains(sign), value * one(F.substring_index(x, sign, 1)) + let(F.substring(x, F.instr(x, F.lit(sign)) + 1, F.length(x)), rest)).otherwise(rest(x))
 
-    return s.map(one).astype("Int32")
+    units = lambda x: F.aggregate(F.split(x, ""), F.lit(0), lambda s, y: s + F.coalesce(F.when(F.length(y) == 1, digit(y)), F.lit(0)))
+    return F.nullif(let(F.trim(c), lambda x: below(x, "百", 100, lambda y: below(y, "十", 10, units))), F.lit(0)).cast("int")
 
 
 def marker(c: Column) -> Column:
-    """(kind, path): decimal (1.2.3), integer with a dot, or parenthesised number a line begins with; null if none."""
-    x = F.trim(c)
-    path = lambda p: F.transform(F.split(F.regexp_extract(x, p, 1), "\\."), lambda y: y.cast("int"))
-    dec, num, par = r"^([0-9]{1,3}(?:\.[0-9]{1,3})+)(?:\s|[^0-9.%,])", r"^([0-9]{1,3})[.、]\s*[^0-9]", r"^[（(]([0-9]{1,3})[）)]"
-    return F.when(x.rlike(dec), F.struct(F.lit("dec").alias("kind"), path(dec).alias("path"))).when(x.rlike(num), F.struct(F.lit("int").alias("kind"), path(num).alias("path"))).when(x.rlike(par), F.struct(F.lit("numpar").alias("kind"), path(par).alias("path")))
+    """(kind, path) of the number a line begins with: circ, chap, art, cndun, cnpar, numpar, dec or int; kind title without one.
+
+    Circled numbers are looked at first: as compatibility forms they would be read as plain ones. Of the other forms the full-width ones
+    are made plain before.
+    """
+    han = f"([{NUMBERS}]+)"
+    by_han = [("chap", f"^第\\s*{han}\\s*章"), ("art", f"^第\\s*{han}\\s*条"), ("cndun", f"^{han}\\s*[、.]"), ("cnpar", f"^[（(]\\s*{han}\\s*[)）]"), ("cnpar", f"^{han}\\s*[)）]")]
+    by_digit = [("numpar", "^[（(]\\s*([0-9]+)\\s*[)）]"), ("dec", "^([0-9]+(?:\\.[0-9]+)+)"), ("int", "^([0-9]+)\\s*[.、\\s]")]
+    none = F.array().cast("array<int>")
+    found = lambda kind, path: F.struct(F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), path.alias("path"))
+
+    def numbered(x):
+        number = han_number(F.regexp_extract(x, f"^(?:第|[（(])?\\s*{han}\\s*[章条、.)）]", 1))
+        out = None
+        for k, p in by_han:
+            hit = x.rlike(p) & number.isNotNull()
+            out = F.when(hit, found(k, F.array(number))) if out is None else out.when(hit, found(k, F.array(number)))
+        for k, p in by_digit:
+            path = F.transform(F.split(F.regexp_extract(x, p, 1), "\\."), lambda y: y.try_cast("int"))
+            out = out.when(x.rlike(p) & F.element_at(path, 1).isNotNull(), found(k, path))
+        return out.otherwise(found("title", none))
+
+    def read(raw):
+        at = F.instr(F.lit(CIRCLED), F.substring(raw, 1, 1))
+        plain = F.translate(raw, "０１２３４５６７８９（）．\u3000\u00a0", "0123456789().  ")
+        return F.when((F.length(raw) > 0) & (at > 0), found("circ", F.array(at))).otherwise(F.when(plain.rlike(f"^[第（(0-9{NUMBERS}]"), let(plain, numbered)).otherwise(found("title", none)))
+
+    return F.when(c.isNotNull(), let(stripped(c), read))
 
 
 def flatten_scripts(c: Column) -> Column:
-    return F.translate(F.translate(c, RAISED, PLAIN), LOWERED, PLAIN)
+    """Raised and lowered digits, signs and letters as plain ones."""
+    return F.translate(F.translate(F.translate(c, RAISED, PLAIN), LOWERED, PLAIN[:15]), LOWERED_LETTERS, PLAIN_LETTERS)
 
 
 def roman_grades(c: Column) -> Column:
-    """ASCII Roman numerals before or after a grading word as single characters."""
+    """ASCII Roman figures as single characters where they count grades: before a grading word or a mark that lists them, or after 素; X before a grading word only."""
     x = c
-    for text, mark in sorted(zip(["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X"], ROMAN, strict=True), key=lambda p: -len(p[0])):
-        x = sub(x, f"(?<![A-Za-z]){text}(?=[级类期型])", mark)
+    for text, mark in sorted(ROMAN.items(), key=lambda p: -len(p[0])):
+        grade = "[级期型度区]" if text == "X" else "[级期型度区,，、和或]"
+        x = sub(x, f"(?<![A-Za-z]){text}(?={grade})" + ("" if text == "X" else f"|(?<=素){text}(?![A-Za-z])"), mark)
     return x
 
 
@@ -152,15 +199,32 @@ def fix_multi_dots(c: Column) -> Column:
 
 
 def letters(c: Column) -> Column:
-    """Answer letters of an explicit conclusion line, as a sorted array; empty without one."""
-    got = F.regexp_extract(F.upper(c), r"ANSWER\s*[:：]\s*([A-D](?:\s*[,，、]?\s*[A-D])*)", 1)
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(got, F.lit("[A-D]"), F.lit(0))))
+    """Answer letters of the first explicit conclusion line, in order of first occurrence; empty without one."""
+    got = F.regexp_extract(c, r"(?i)(?:最终答案|正确答案|答案|answer)\s*[:：]?\s*[<*（(【「#\s]*([A-D][A-D，,、\s]*)", 1)
+    return F.array_distinct(F.regexp_extract_all(F.upper(got), F.lit("[A-D]"), F.lit(0)))
+
+
+# Words of a verdict, those that say no before those they hold, and those that say yes.
+VERDICT, YES = "不正确|不成立|不符合|错误|假|正确|成立|符合|真", ("真", "正确", "成立", "符合")
+
+
+def verdicts(c: Column, kind: Column) -> Column:
+    """Options judged right: the last verdict after the last arrow of an option's part (or of its last 300 characters), the option's first part counting.
+
+    All sorted letters for multiple answers, else the first.
+    """
+    parts = F.filter(F.split(c, r"(?=选项\s*[A-D])"), lambda x: x.rlike(r"^选项\s*[A-D]"))
 
+    def read(p):
+        body = sub(p, r"^选项\s*[A-D][:：.、\s]*")
+        tail = F.when(body.contains("→"), F.element_at(F.split(sub(F.substring_index(body, "→", -1), r"\s+$"), "\n"), -1)).otherwise(body)
+        last = lambda t: F.try_element_at(F.regexp_extract_all(t, F.lit(f"({VERDICT})"), F.lit(1)), F.lit(-1))
+        return F.struct(F.regexp_extract(p, "([A-D])", 1).alias("option"), F.coalesce(last(tail), last(F.right(body, F.lit(300)))).isin(*YES).alias("right"))
 
-def verdicts(c: Column) -> Column:
-    """Letters of the options judged right: the first verdict of each option line counts."""
-    got = F.regexp_extract_all(c, F.lit(r"(?m)^\s*([A-D])\s*[:.].*?->\s*(?:true|right)"), F.lit(1))
-    return F.array_join(F.array_sort(F.array_distinct(got)), "")
+    seen = F.filter(F.transform(parts, read), lambda v: v.right.isNotNull())
+    first = F.aggregate(seen, F.array().cast("array<struct<option:string,right:boolean>>"), lambda s, v: F.when(F.exists(s, lambda y: y.option == v.option), s).otherwise(F.array_append(s, v)))
+    good = F.array_sort(F.transform(F.filter(first, lambda v: v.right), lambda v: v.option))
+    return F.when(kind == "multi", F.array_join(good, "")).otherwise(F.coalesce(F.try_element_at(good, F.lit(1)), F.lit("")))
 
 
 def canonical_answer(c: Column, kind: Column) -> Column:

@@ -111,24 +111,52 @@ def merged(keys: DataFrame, a: DataFrame, b: DataFrame, key: str, value: str) ->
     return x.select(key, v.alias(value), v.isNull().alias("missing"), (v == "").alias("blank"))
 
 
-RULES = [
-    # rule, profile field, comparison, threshold, decision, priority
-    ("imbalance", ">", 3.0, "balanced_weights", 1),
-    ("homophily", ">", 0.6, "correct_and_smooth", 1),
-    ("homophily", "<=", 0.6, "features_only", 2),
-    ("isolated_share", ">", 0.1, "feature_fallback", 2),
-    ("mean_degree", ">", 5.0, "neighbour_features", 3),
-    ("repeat_rate", ">", 0.3, "repeat_first", 1),
-    ("cold_share", ">", 0.3, "popularity_fallback", 2),
-    ("mean_len", ">", 5.0, "covisitation", 2),
-]
-
-
-def decide(profile: DataFrame) -> DataFrame:
-    """Decisions whose rule holds for a one-row profile, by priority and rule order."""
-    spark = profile.sparkSession
-    rules = spark.createDataFrame([(i, *r) for i, r in enumerate(RULES)], "no int, field string, cmp string, threshold double, decision string, priority int")
-    fields = [c for c in profile.columns if c in {r[0] for r in RULES}]
-    long = profile.select(F.explode(F.create_map(*[x for c in fields for x in (F.lit(c), F.col(c).cast("double"))])).alias("field", "value"))
-    holds = F.when(F.col("cmp") == ">", F.col("value") > F.col("threshold")).otherwise(F.col("value") <= F.col("threshold"))
-    return rules.join(long, "field").where(holds).select("no", "field", "value", "decision", "priority").orderBy("priority", "no")
+def decide(profile: DataFrame, task: str) -> DataFrame:
+    """(no, model, priority, signal, hint): first decisions for a one-row profile, by priority and then in the order of the rules; null signals count 0 (imbalance 1).
+
+    Every decision names the profile's value that it rests on; a rule whose condition fails gives none.
+    """
+    v = lambda c, other=0.0: F.coalesce(F.col(c).cast("double"), F.lit(other))
+    always = F.lit(True)
+    if task == "classification":
+        weight = F.when(v("imbalance", 1.0) >= 3, "balanced")
+        rules = [
+            ("lightgbm", F.lit(1), "isolated_share", weight, always),
+            ("feature_mlp", F.lit(2), "mean_degree", weight, always),
+            ("correct_and_smooth", F.lit(1), "homophily", None, v("homophily") >= 0.6),
+            ("feature_propagation", F.lit(3), "isolated_share", None, v("isolated_share") >= 0.1),
+            ("gcn", F.when(v("mean_degree") >= 5, 3).otherwise(4), "mean_degree", None, always),
+        ]
+    else:
+        rules = [
+            ("popularity", F.lit(1), "cold_share", None, always),
+            ("repeat_freq", F.lit(1), "repeat_rate", None, v("repeat_rate") >= 0.3),
+            ("covisitation", F.lit(2), "repeat_rate", None, always),
+            ("blend", F.lit(1), "repeat_rate", None, always),
+            ("item_content_knn", F.lit(2), "n_items", None, v("n_items") >= 5000),
+            ("sasrec", F.when(v("cold_share") >= 0.3, 4).otherwise(3), "cold_share", None, always),
+        ]
+    one = lambda i, m, p, s, h: F.struct(p.cast("int").alias("priority"), F.lit(i).alias("rule"), F.lit(m).alias("model"), F.concat(F.lit(s + "="), F.round(v(s), 4).cast("string")).alias("signal"), (F.lit(None).cast("string") if h is None else h).alias("hint"))
+    made = F.array_compact(F.array(*[F.when(ok, one(i, m, p, s, h)) for i, (m, p, s, h, ok) in enumerate(rules)]))
+    return profile.select(F.posexplode(F.array_sort(made)).alias("no", "x")).select("no", "x.model", "x.priority", "x.signal", "x.hint")
+
+
+def first_trial(profile: DataFrame, task: str) -> DataFrame:
+    """(first_trial): what is tried first."""
+    if task == "classification":
+        return profile.select(F.when(F.coalesce("homophily", F.lit(0.0)) >= 0.6, "lightgbm(class_weight=balanced) + correct_and_smooth").otherwise("lightgbm(class_weight=balanced)").alias("first_trial"))
+    return profile.select(F.lit("blend(repeat_freq + covisitation + popularity)").alias("first_trial"))
+
+
+def append_trial(log: DataFrame, row: DataFrame) -> DataFrame:
+    """A log with one more trial, whose id is the number of trials so far."""
+    n = log.agg(F.count("*").cast("int").alias("id"))
+    return log.unionByName(row.drop("id").join(F.broadcast(n), F.lit(True)), allowMissingColumns=True)  # one row
+
+
+def calibrated(df: DataFrame, by: str, pred: str, gold: str, flag: str, tokens: str, budget: float) -> DataFrame:
+    """`graded` with each group's tokens, token factor and the score both give."""
+    t = df.rollup(by).agg(F.sum(tokens).alias("tokens"))
+    g = graded(df, by, pred, gold, flag)
+    x = g.join(t.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+    return x.withColumn("score", F.round(100 * F.col("accuracy") * token_factor(F.col("tokens"), budget), 4))

@@ -18,15 +18,34 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return e.union(e.select("dst", "src")).distinct()
 
 
-def from_parts(lineitem: DataFrame, part: DataFrame, orders_mod: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(edges, nodes): parts bought in one order are linked; label is the brand's number; a fifth of the nodes, by md5, is the test split."""
-    x = lineitem.select("l_orderkey", "l_partkey").distinct()
-    e = x.withColumnRenamed("l_partkey", "src").join(x.withColumnRenamed("l_partkey", "dst"), "l_orderkey").where("src < dst").select("src", "dst").distinct()
+def from_parts(lineitem: DataFrame, part: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes): each part bought in an order is linked with the order's next one, so an order gives as many links as parts; label is the brand's number; a fifth of
+    the nodes, by md5, is the test split."""
+    x = lineitem.where("l_orderkey is not null and l_partkey is not null").select("l_orderkey", "l_partkey").distinct()
+    e = x.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_partkey")).alias("dst")).where("dst is not null").distinct()
     h = F.conv(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 8), 16, 10).cast("bigint") % 5
     n = part.select(F.col("p_partkey").alias("node"), (F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") % 5).alias("label"), F.when(h == 0, "test").otherwise("train").alias("split"))
     return e, n
 
 
+def stratified(nodes: DataFrame, share: float = 0.2, bits: int = 12) -> DataFrame:
+    """Nodes with a split anew: of each label's nodes the share (rounded) with the smallest md5 (ties by node) is the test split.
+
+    The hashes are counted in 2**bits buckets a label; only the nodes of the one bucket where a label's share ends are ranked, so no label gathers in one task.
+    """
+    h = F.conv(F.substring(F.md5(F.col("node").cast("string")), 1, 8), 16, 10).cast("bigint")
+    x = nodes.drop("split").withColumn("_h", h).withColumn("_b", F.shiftright("_h", 32 - bits))
+    n = x.groupBy("label", "_b").agg(F.count("*").alias("_n"))
+    w = W.partitionBy("label")
+    n = n.withColumn("_before", F.sum("_n").over(w.orderBy("_b")) - F.col("_n")).withColumn("_take", F.floor(F.sum("_n").over(w) * F.lit(share) + F.lit(0.5)))  # 2**bits rows a label at most
+    n = n.withColumn("_left", F.col("_take") - F.col("_before")).select(F.col("label").alias("_l"), F.col("_b").alias("_k"), "_n", "_left")
+    y = x.join(n, F.col("label").eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_k")))
+    sure = y.where("_left >= _n or _left <= 0").withColumn("split", F.when(F.col("_left") > 0, "test").otherwise("train"))
+    r = F.row_number().over(W.partitionBy("label", "_b").orderBy("_h", "node"))
+    edge = y.where("_left < _n and _left > 0").withColumn("_r", r).withColumn("split", F.when(F.col("_r") <= F.col("_left"), "test").otherwise("train")).drop("_r")
+    return sure.unionByName(edge).drop("_h", "_b", "_l", "_k", "_n", "_left")
+
+
 def degrees(sym: DataFrame, nodes: DataFrame) -> DataFrame:
     d = sym.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
     return nodes.join(d, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
@@ -55,14 +74,19 @@ def normalised(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.join(d, "src").join(d.withColumnsRenamed({"src": "dst", "s": "t"}), "dst").select("src", "dst", (F.col("s") * F.col("t")).alias("w"))
 
 
-def propagate(adj: DataFrame, x0: DataFrame, alpha: float, steps: int, clip: bool = False, every: int = 5) -> DataFrame:
-    """x <- (1 - alpha) x0 + alpha A x, `steps` times, over long (node, label, v); lineage is cut every few steps."""
+def propagate(adj: DataFrame, x0: DataFrame, classes: list[int], alpha: float, steps: int, clip: bool = False, every: int = 10) -> DataFrame:
+    """x <- (1 - alpha) x0 + alpha A x, `steps` times, over one row a node with a column a class (node, c0, c1, ...).
+
+    `adj` is partitioned by dst, as every step's sums are by node, so a step shuffles partial sums only; x0 enters as further summands instead of by a join. Lineage is
+    cut every few steps.
+    """
+    cols = [f"c{k}" for k in range(len(classes))]
+    start = x0.select("node", *[((1 - alpha) * F.col(c)).alias(c) for c in cols])
     x = x0
     for k in range(1, steps + 1):
-        y = adj.join(x.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.sum(F.col("w") * F.col("v")).alias("y"))
-        x = x0.withColumnRenamed("v", "v0").join(y, ["node", "label"], "full_outer").select("node", "label", ((1 - alpha) * F.coalesce("v0", F.lit(0.0)) + alpha * F.coalesce("y", F.lit(0.0))).alias("v"))
-        if clip:
-            x = x.withColumn("v", F.greatest("v", F.lit(0.0)))
+        part = adj.join(x.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), *[(alpha * F.col("w") * F.col(c)).alias(c) for c in cols])
+        total = lambda c: F.greatest(F.sum(c), F.lit(0.0)) if clip else F.sum(c)
+        x = part.unionByName(start).groupBy("node").agg(*[total(c).alias(c) for c in cols])
         if k % every == 0 and k < steps:
             x = cut_lineage(x)
     return x
@@ -71,22 +95,41 @@ def propagate(adj: DataFrame, x0: DataFrame, alpha: float, steps: int, clip: boo
 def correct_and_smooth(edges: DataFrame, nodes: DataFrame, prior: DataFrame, a1: float = 0.8, a2: float = 0.8, n1: int = 50, n2: int = 50, scale: float = 1.0) -> DataFrame:
     """(node, label, v): residuals of the train nodes are propagated and added to the prior, train rows are reset to their labels, and the result is smoothed.
 
-    `prior` is (node, label, v) for all nodes and classes.
+    `prior` is (node, label, v) for all nodes and classes; a class missing at a node counts 0.
     """
-    long = n1 + n2 > 10
-    adj = normalised(edges, nodes)
-    if long:  # written once, by the key of every step's join
-        adj = cut_lineage(adj.repartition("dst"))
-    hot = nodes.where("split = 'train' and label is not null").select("node", "label", F.lit(1.0).alias("y"))
-    train = nodes.where("split = 'train' and label is not null").select("node")
-    base = prior.join(hot, ["node", "label"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
-    err = base.join(train.withColumn("t", F.lit(1)), "node", "left").select("node", "label", F.when(F.col("t") == 1, F.col("y") - F.col("v")).otherwise(F.lit(0.0)).alias("v"))
-    if long:
-        base, err = cut_lineage(base), cut_lineage(err)
-    res = propagate(adj, err, a1, n1).withColumnRenamed("v", "r")
-    fixed = base.join(res, ["node", "label"], "left").join(train.withColumn("t", F.lit(1)), "node", "left")
-    fixed = fixed.select("node", "label", F.when(F.col("t") == 1, F.col("y")).otherwise(F.greatest(F.lit(0.0), F.col("v") + scale * F.coalesce("r", F.lit(0.0)))).alias("v"))
-    return propagate(adj, cut_lineage(fixed) if long else fixed, a2, n2, clip=True)
+    known = nodes.where("split = 'train' and label is not null").select("node", F.col("label").alias("own"))
+    classes = sorted(r[0] for r in prior.select("label").where("label is not null").distinct().union(known.select("own").distinct()).distinct().collect())  # one row a class
+    if not classes:
+        return prior.select("node", "label", F.col("v").cast("double").alias("v")).limit(0)
+    cols = [f"c{k}" for k in range(len(classes))]
+    adj = cut_lineage(normalised(edges, nodes).repartition("dst"))  # written once, by the key of every step's join
+    wide = prior.groupBy("node").agg(*[F.coalesce(F.sum(F.when(F.col("label") == y, F.col("v"))), F.lit(0.0)).alias(c) for c, y in zip(cols, classes, strict=True)])
+    base = cut_lineage(nodes.select("node").distinct().join(wide, "node", "left").join(known, "node", "left").select("node", "own", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in cols]))
+    hot = lambda y: (F.col("own") == y).cast("double")
+    train = F.col("own").isNotNull()
+    err = base.select("node", *[F.when(train, hot(y) - F.col(c)).otherwise(F.lit(0.0)).alias(c) for c, y in zip(cols, classes, strict=True)])
+    res = propagate(adj, err, classes, a1, n1).withColumnsRenamed({c: "r" + c for c in cols})
+    fixed = base.join(res, "node", "left").select("node", *[F.when(train, hot(y)).otherwise(F.greatest(F.lit(0.0), F.col(c) + scale * F.coalesce("r" + c, F.lit(0.0)))).alias(c) for c, y in zip(cols, classes, strict=True)])
+    x = propagate(adj, cut_lineage(fixed), classes, a2, n2, clip=True)
+    return x.select("node", F.explode(F.array(*[F.struct(F.lit(y).alias("label"), F.col(c).alias("v")) for c, y in zip(cols, classes, strict=True)])).alias("x")).select("node", "x.label", "x.v")
+
+
+def backbone(features: DataFrame, columns: list[str], rounds: int = 20) -> DataFrame:
+    """(node, label, v): class probabilities of every node by a logistic regression on its scaled features, fitted to the train nodes with the weights n / (classes * count)
+    of their classes. features: node, label, split and the columns."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import MaxAbsScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    n = features.where("split = 'train' and label is not null").groupBy("label").count()
+    one = n.agg(F.sum("count").alias("all"), F.count("*").alias("k"))
+    weight = n.join(F.broadcast(one), F.lit(True)).select("label", (F.col("all") / (F.col("k") * F.col("count"))).alias("weight"))  # one row a class
+    x = VectorAssembler(inputCols=columns, outputCol="_raw", handleInvalid="keep").transform(features.fillna(0.0, columns))
+    x = MaxAbsScaler(inputCol="_raw", outputCol="_features").fit(x).transform(x)
+    fit = x.where("split = 'train' and label is not null").join(F.broadcast(weight), "label")
+    model = LogisticRegression(featuresCol="_features", weightCol="weight", maxIter=rounds).fit(fit)
+    p = model.transform(x).select("node", F.posexplode(vector_to_array("probability")).alias("label", "v"))
+    return p.select("node", F.col("label").cast("int").alias("label"), "v")
 
 
 def uniform_prior(nodes: DataFrame) -> DataFrame:

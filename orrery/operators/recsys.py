@@ -2,7 +2,7 @@
 
 A sequence is a user's items in the order (o_orderdate, o_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice); its last item is the target, the rest the
 history. Histories are cut to their last `window` distinct items before pairs are formed, so pairs per user are bounded by window squared, whatever the history's length.
-Users with one item have an empty history; null users or items are left out. Ties go to the smaller item id unless stated.
+Popularity counts targets. Users with one item have an empty history; null users or items are left out. Ties go to the smaller item id unless stated.
 """
 
 from __future__ import annotations
@@ -44,12 +44,13 @@ def covisits(history: DataFrame, window: int = WINDOW) -> DataFrame:
     return r.select("uid", F.col("iid").alias("a")).join(r.select("uid", F.col("iid").alias("b")), "uid").where("a != b").groupBy("a", "b").agg(F.count("*").alias("cnt"))
 
 
-def popularity(history: DataFrame) -> DataFrame:
-    return history.groupBy("iid").agg(F.count("*").alias("pop"))
+def popularity(targets: DataFrame) -> DataFrame:
+    """(iid, pop): how often an item is a target."""
+    return targets.groupBy(F.col("target").alias("iid")).agg(F.count("*").alias("pop"))
 
 
-def top_popular(history: DataFrame, k: int = TOP) -> DataFrame:
-    return popularity(history).orderBy(F.desc("pop"), "iid").limit(k)
+def top_popular(targets: DataFrame, k: int = TOP) -> DataFrame:
+    return popularity(targets).orderBy(F.desc("pop"), "iid").limit(k)
 
 
 def bucket(n: str = "len") -> Column:
@@ -57,18 +58,19 @@ def bucket(n: str = "len") -> Column:
     return F.when(c == 0, "0").when(c <= 2, "1-2").when(c <= 10, "3-10").otherwise(">10")
 
 
-def rank(history: DataFrame, users: DataFrame, weights: tuple[float, float, float] = (2.0, 1.0, 0.2), k: int = TOP) -> DataFrame:
-    """(uid, iid, score, rank): weighted sum of max-normalised repeats, co-visits and popularity over all items.
+def rank(history: DataFrame, targets: DataFrame, users: DataFrame, own: DataFrame, weights: tuple[float, float, float] = (2.0, 1.0, 0.2), k: int = TOP) -> DataFrame:
+    """(uid, iid, score, rank) for the users: weighted sum of max-normalised repeats (of their own histories `own`), co-visits and popularity (of the histories and
+    targets fitted to) over all items.
 
     Items without repeats or co-visits can only enter by popularity, so the HEAD most popular items stand for all of them: HEAD exceeds k by more than a
     user's recent items can take away. Scores are rounded to 6 decimals before ranking; ties go to the smaller item.
     """
     wr, wc, wp = weights
-    hist = item_counts(history).join(users.select("uid"), "uid", "left_semi").select("uid", "iid", "cnt")
+    hist = item_counts(own).join(users.select("uid"), "uid", "left_semi").select("uid", "iid", "cnt")
     maxed = hist.withColumn("h", F.col("cnt") / F.max("cnt").over(W.partitionBy("uid")))
     co = maxed.select("uid", F.col("iid").alias("a"), "cnt").join(covisits(history).withColumnRenamed("cnt", "c"), "a").groupBy("uid", F.col("b").alias("iid")).agg(F.sum(F.col("cnt") * F.col("c")).alias("co"))
     co = co.withColumn("c", F.col("co") / F.max("co").over(W.partitionBy("uid")))
-    pop = popularity(history)
+    pop = popularity(targets)
     top = pop.agg(F.max("pop").alias("top"))
     norm = pop.join(F.broadcast(top), F.lit(True)).select("iid", (F.col("pop") / F.col("top")).alias("p"))  # one row
     head = norm.orderBy(F.desc("p"), "iid").limit(HEAD)  # HEAD rows

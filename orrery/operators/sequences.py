@@ -132,14 +132,19 @@ def complete(df: DataFrame, by: list[str], pos: str, value: str) -> DataFrame:
 # ---- tables: rows (table_id, r, c, cell) ----
 
 
-def column_number_rows(cells: DataFrame) -> DataFrame:
-    """(table_id, r): rows of at least 3 cells, four fifths of them whole numbers, with three consecutive ones in a row."""
-    x = cells.withColumn("n", F.when(F.col("cell").rlike("^[0-9]{1,3}$"), F.col("cell").cast("int")))
+def column_number_rows(cells: DataFrame, least: int = 5, run: int = 5) -> DataFrame:
+    """(table_id, r, first): rows of at least `least` filled cells, four fifths of them whole numbers, `run` of which count up one by one; first is their first number's column."""
+    x = cells.withColumn("cell", F.trim("cell")).where("cell != ''").withColumn("n", F.when(F.col("cell").rlike("^[0-9]{1,9}$"), F.col("cell").cast("int")))
+    g = x.groupBy("table_id", "r").agg(F.count("*").alias("filled"), F.count("n").alias("ints"), F.min(F.when(F.col("n").isNotNull(), F.col("c"))).alias("first"))
     w = W.partitionBy("table_id", "r").orderBy("c")
-    x = x.withColumn("step", F.when(F.col("n") - F.lag("n").over(w) == 1, 0).otherwise(1)).withColumn("run", F.sum("step").over(w))
-    runs = x.where("n is not null").groupBy("table_id", "r", "run").agg(F.count("*").alias("k")).groupBy("table_id", "r").agg(F.max("k").alias("k"))
-    g = x.groupBy("table_id", "r").agg(F.count("*").alias("cells"), F.count("n").alias("ints"))
-    return g.join(runs, ["table_id", "r"]).where("cells >= 3 and ints >= 0.8 * cells and k >= 3").select("table_id", "r")
+    i = _runs(x.where("n is not null"), w)
+    longest = i.groupBy("table_id", "r", "part").agg(F.count("*").alias("k")).groupBy("table_id", "r").agg(F.max("k").alias("k"))
+    return g.join(longest, ["table_id", "r"]).where((F.col("filled") >= least) & (F.col("ints") * 5 >= F.col("filled") * 4) & (F.col("k") >= run)).select("table_id", "r", "first")
+
+
+def _runs(x: DataFrame, w) -> DataFrame:
+    """Rows with the number of the counting-up run that they are in."""
+    return x.withColumn("step", F.when(F.col("n") == F.lag("n").over(w) + 1, 0).otherwise(1)).withColumn("part", F.sum("step").over(w))
 
 
 def mode_width(cells: DataFrame) -> DataFrame:

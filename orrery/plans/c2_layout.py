@@ -45,6 +45,12 @@ def tiles(s, d):
     return t.where("not (tr = 1 and tc = 1 and c = 4) and not (tr = 2 and tc = 0 and r > 2)")
 
 
+def doubled(s, d):
+    """Tables beside themselves, with the column numbers in their third row."""
+    c = c2_text.cells(s, d)
+    return q.side_by_side(c, c).withColumn("cell", F.when(F.col("r") == 2, (F.col("c") + 1).cast("string")).otherwise(F.col("cell")))
+
+
 def cuts(s, d):
     return pixels(s, d).select("img").distinct().withColumn("cut", F.explode(F.array(F.lit(16), F.lit(32), F.lit(48))))
 
@@ -73,7 +79,7 @@ QUERIES = {
     "wn_first_title": lambda s, d: table(s, d, "doc_blocks").where("type = 'heading' and coalesce(page, 0) <= 3").groupBy("doc_id").agg(F.min_by("text", "block_id").alias("title")),
     "wn_blocks": lambda s, d: c2_text.lines(s, d).withColumn("kind", F.when(F.col("line").startswith("|"), "table").when(F.col("line").rlike("^#{1,6} "), "head").when(F.trim("line") == "", "blank").otherwise("para")).groupBy("kind").agg(F.count("*").alias("n")),
     "wn_table_rows": lambda s, d: c2_text.cells(s, d).groupBy("table_id").agg(F.count_distinct("r").alias("n_rows")),
-    "wn_column_number_rows": lambda s, d: q.column_number_rows(c2_text.cells(s, d).withColumn("cell", F.when((F.col("r") == 2), (F.col("c") + 1).cast("string")).otherwise(F.col("cell")))),
+    "wn_column_number_rows": lambda s, d: q.column_number_rows(doubled(s, d)),
     "wn_mode_width": lambda s, d: q.mode_width(c2_text.cells(s, d)),
     "wn_banners": lambda s, d: q.banners(c2_text.cells(s, d).withColumn("cell", F.when((F.col("r") % 3 == 0) & (F.col("c") > 0), "").otherwise(F.col("cell")))),
     "gr_to_html": html,
@@ -141,8 +147,10 @@ select doc_id, line_no, case when count(*) over w >= 3 then sum(is_heading::int)
     "wn_blocks": c2_text.L + " select case when starts_with(line, '|') then 'table' when regexp_matches(line, '^#{1,6} ') then 'head' when trim(line) = '' then 'blank' when line is not null then 'para' end as kind, count(*) as n from ln group by 1",
     "wn_table_rows": C + " select table_id, count(distinct r) as n_rows from ce group by all",
     "wn_column_number_rows": C
-    + """, x as (select table_id, r, c, case when r = 2 then (c + 1)::varchar else cell end as cell from ce), y as (select *, case when regexp_full_match(cell, '[0-9]{1,3}') then try_cast(cell as int) end as n from x), z as (select *, case when n - lag(n) over (partition by table_id, r order by c) = 1 then 0 else 1 end as st from y),
-v as (select *, sum(st) over (partition by table_id, r order by c) as run from z), k as (select table_id, r, max(k) as k from (select table_id, r, run, count(*) as k from v where n is not null group by all) group by all) select table_id, r from (select table_id, r, count(*) as cells, count(n) as ints from v group by all) join k using (table_id, r) where cells >= 3 and ints >= 0.8 * cells and k >= 3""",
+    + """, w2 as (select table_id, r, count(*) as w from ce group by all), c2 as (select table_id, r, c, cell from ce union all select table_id, r, c + w, cell from ce join w2 using (table_id, r)), x as (select table_id, r, c, trim(case when r = 2 then (c + 1)::varchar else cell end) as cell from c2),
+y as (select *, case when regexp_full_match(cell, '[0-9]{1,9}') then try_cast(cell as int) end as n from x where cell != ''), z as (select *, case when n = lag(n) over (partition by table_id, r order by c) + 1 then 0 else 1 end as st from y where n is not null),
+v as (select *, sum(st) over (partition by table_id, r order by c) as p from z), k as (select table_id, r, max(k) as k from (select table_id, r, p, count(*) as k from v group by all) group by all),
+g as (select table_id, r, count(*) as filled, count(n) as ints, min(case when n is not null then c end) as first from y group by all) select table_id, r, first from g join k using (table_id, r) where filled >= 5 and ints * 5 >= filled * 4 and k >= 5""",
     "wn_mode_width": C + MW.format("ce") + " select * from mw",
     "wn_banners": C + ", x as (select table_id, r, c, case when r % 3 = 0 and c > 0 then '' else cell end as cell from ce)" + MW.format("x") + " select table_id, r, text, width as colspan from (select table_id, r, min(cell) as text from x where cell != '' group by all having count(*) = 1) join mw using (table_id)",
     "gr_to_html": HT + " select * from ht",

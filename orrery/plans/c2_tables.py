@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orrery.operators import sequences as q
 from orrery.operators import tables as t
-from orrery.plans import c2_layout, c2_text, c3_graph
+from orrery.plans import c2_layout, c2_text
 from orrery.tables import table
 
 
@@ -44,32 +44,15 @@ def seam_pairs(s, d):
 
 
 def runs(s, d):
-    x = q.islands(c2_layout.pixels(s, d).where("ink = 1 and y < 6").select("img", "y", "x"), ["img", "y"], "x", 1)
+    x = q.islands(c2_layout.pixels(s, d).where("ink = 1").select("img", "y", "x"), ["img", "y"], "x", 1)
     return x.where("n >= 3").select("img", "start", "end")
 
 
-def logistic(s, d):
-    """Accuracy and size of a weighted logistic regression on degree, size and price of a part."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import MaxAbsScaler, VectorAssembler
-
-    from orrery.operators import graph
-
-    e, n = c3_graph.parts(s, d)
-    x = graph.degrees(graph.symmetric(e), n).join(table(s, d, "part"), F.col("node") == F.col("p_partkey")).select("node", "label", "split", F.col("degree").cast("double").alias("degree"), F.col("p_size").cast("double").alias("size"), "p_retailprice")
-    w = x.where("split = 'train'").groupBy("label").agg((1.0 / F.count("*")).alias("weight"))
-    x = VectorAssembler(inputCols=["degree", "size", "p_retailprice"], outputCol="raw").transform(x.join(F.broadcast(w), "label"))  # one row a class
-    x = MaxAbsScaler(inputCol="raw", outputCol="features").fit(x).transform(x)
-    m = LogisticRegression(weightCol="weight", maxIter=20).fit(x.where("split = 'train'"))
-    return m.transform(x.where("split = 'test'")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("int")), 4).alias("accuracy"))
-
-
 QUERIES = {
     "tx_clean_caption": lambda s, d: table(s, d, "doc_tables").groupBy("table_id").agg(F.min("caption").alias("caption")).select("table_id", t.clean_caption(F.concat(F.lit("<b>## "), F.col("caption"), F.lit("</b><br/> **note**"))).alias("caption")),
     "tx_merge_paragraphs": lambda s, d: c2_text.blocks(s, d).select("block_id", t.merge_paragraphs(F.concat(F.col("text"), F.lit("\n<table><tr></tr></table>\n"), F.col("text"))).alias("text")),
     "tx_harmonise_numbers": lambda s, d: t.harmonise(cells(s, d).withColumn("cell", F.when(F.col("r") % 4 == 3, F.regexp_replace("cell", ",", "")).otherwise(F.col("cell")))),
-    "qa_tile_reason": lambda s, d: c2_text.tables(s, d).select("table_id", t.tile_reason(F.substring("markdown", 1, 300), F.regexp_count("markdown", F.lit("\n")), F.lit(6), F.regexp_count("markdown", F.lit("(?i)<td|\\|"))).alias("reason")),
-    "qa_tile_reason_whole": lambda s, d: c2_text.tables(s, d).select("table_id", t.tile_reason(F.col("markdown"), F.regexp_count("markdown", F.lit("\n")), F.lit(6), F.regexp_count("markdown", F.lit("(?i)<td|\\|"))).alias("reason")),
+    "qa_tile_reason": lambda s, d: c2_text.tables(s, d).select("table_id", t.tile_reason(F.col("markdown"), F.regexp_count("markdown", F.lit("\n")), F.lit(6), F.regexp_count("markdown", F.lit("(?i)<td|\\|"))).alias("reason")),
     "qa_occupancy": lambda s, d: t.occupancy(sparse(s, d), cells(s, d).select("table_id", "r", "c", (F.col("cell") != "-").alias("ink"))),
     "qa_grid_accuracy": lambda s, d: t.grid_accuracy(*estimates(s, d)),
     "gr_fold_spans": lambda s, d: t.fold_spans(sparse(s, d)),
@@ -84,7 +67,6 @@ QUERIES = {
     "wn_seam_overlap": lambda s, d: seam_pairs(s, d).select("table_id", t.seam_overlap(F.col("a"), F.col("b")).alias("overlap")),
     "wn_split_at_banners": lambda s, d: t.split_at_banners(sparse(s, d)),
     "wn_width_regimes": lambda s, d: t.width_regimes(cells(s, d).withColumn("cell", F.when((F.col("r") > 4) & (F.col("c") > 0), "").otherwise(F.col("cell")))),
-    "c3_logistic": logistic,
 }
 
 C = c2_text.C
@@ -100,8 +82,6 @@ select block_id, array_to_string(list_filter(list_transform(x, lambda y: case wh
     + r""", x as (select table_id, r, c, case when r % 4 = 3 then replace(cell, ',', '') else cell end as cell from ce), v as (select table_id, c, regexp_replace(cell, '[0-9]+', '0', 'g') as template, count(*) as n from x where r > 0 and regexp_matches(cell, '^[0-9][0-9,.]*%?$') group by all),
 w as (select table_id, c, arg_min(template, (-n, template)) as template from v group by all having max(n) >= 3) select table_id, r, c, case when regexp_matches(cell, '^[0-9]{4,6}\.[0-9]{2}$') and template like '%,%' then regexp_replace(cell, '^([0-9]{1,3})([0-9]{3})(\.[0-9]{2})$', '\1,\2\3') else cell end as cell from x left join w using (table_id, c)""",
     "qa_tile_reason": c2_text.T
-    + """ select table_id, case when not contains(lower(substring(markdown, 1, 300)), '<t') then 'flat' when len(regexp_extract_all(markdown, '(?i)<td|\\|')) > 40 then 'too_wide' when contains(lower(substring(markdown, 1, 300)), '<table') and not contains(lower(substring(markdown, 1, 300)), '</table>') then 'truncated' when len(string_split(markdown, chr(10))) - 1 < 6 * 0.8 then 'row_under' end as reason from t""",
-    "qa_tile_reason_whole": c2_text.T
     + """ select table_id, case when not contains(lower(coalesce(markdown, '')), '<t') then 'flat' when len(regexp_extract_all(markdown, '(?i)<td|\\|')) > 40 then 'too_wide' when contains(lower(markdown), '<table') and not contains(lower(markdown), '</table>') then 'truncated' when len(string_split(markdown, chr(10))) - 1 < 6 * 0.8 then 'row_under' end as reason from t""",
     "qa_occupancy": SPARSE + " select table_id, count(*) filter ((sx.cell != '') != (ce.cell != '-')) = 0 as identical, count(*) filter ((sx.cell != '') != (ce.cell != '-')) as differing from sx join ce using (table_id, r, c) group by table_id",
     "qa_grid_accuracy": C
@@ -113,7 +93,7 @@ select count(*) as n, round(avg((rows = gr)::int), 4) as row_hits, round(avg((co
     + """, f as (select img, unnest([0.40, 0.44, 0.48])::double as floor, x, v from pf), c as (select * from f where v <= floor), g as (select img, floor, x - lag(x) over (partition by img, floor order by x) as gap from c), m as (select img, floor, quantile_cont(gap, 0.5) as med from g where gap is not null group by all),
 s as (select img, floor, round(avg((abs(gap - med) <= 0.3 * med)::int), 6) as even from g join m using (img, floor) where gap is not null group by all) select img, arg_min(floor, (-even, floor)) as floor, max(even) as even from s group by img""",
     "gr_panel_seams": c2_layout.PX
-    + c2_layout.isl("hr", "(select * from px where ink = 1 and y < 6)", "img, y", "x", 1)
+    + c2_layout.isl("hr", "(select * from px where ink = 1)", "img, y", "x", 1)
     + ', rr as (select img as k, start, "end" from hr where n >= 3)'
     + c2_layout.uni("rr")
     + ', gp as (select k as img, "end" + 1 as start, lead(start) over (partition by k order by start) - 1 as e from un) select img, start, e as "end" from gp where e >= start and e < 64',

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.operators import experiments as x
 from orrery.plans import c3_graph, c3_recsys
-from orrery.operators import graph, recsys
+from orrery.operators import graph
 from orrery.tables import table
 
 
@@ -61,13 +61,16 @@ QUERIES = {
     "ex_batch_means": lambda s, d: x.batch_means(composed(s, d), "overall3", "table_score"),
     "ex_means_by_kind": lambda s, d: composed(s, d).join(table(s, d, "part"), "p_partkey").groupBy("p_brand").agg(F.round(F.avg("overall2"), 6).alias("mean"), F.round(F.avg("table_score"), 6).alias("table_mean")),
     "ex_ordinal_scores": lambda s, d: x.ordinal_scores(table_rows(s, d, "gold"), table_rows(s, d, "pred"), "doc_id"),
-    "ex_resume": lambda s, d: x.resume(calls(s, d).where("seq % 3 = 0"), table(s, d, "customer").select(F.col("c_custkey").alias("key")), "key"),
+    "ex_resume": lambda s, d: x.resume(calls(s, d), table(s, d, "customer").select(F.col("c_custkey").alias("key")), "key"),
     "ex_last_per_key": lambda s, d: x.last_per_key(calls(s, d), "key", "seq"),
-    "ex_merge_parts": lambda s, d: x.merged(table(s, d, "doc_blocks").select("block_id").distinct(), table(s, d, "doc_blocks").where("page % 2 = 0").groupBy("block_id").agg(F.min("text").alias("text")), table(s, d, "doc_blocks").where("page % 2 = 1").groupBy("block_id").agg(F.min("text").alias("text")), "block_id", "text"),
+    "ex_merge_parts": lambda s, d: x.merged(table(s, d, "doc_blocks").select("block_id").distinct(), table(s, d, "doc_blocks").where("page is null or page % 2 = 0").groupBy("block_id").agg(F.min("text").alias("text")), table(s, d, "doc_blocks").where("page % 2 = 1").groupBy("block_id").agg(F.min("text").alias("text")), "block_id", "text"),
     "ex_summary_split": lambda s, d: answers(s, d).select("qid", "tokens").unionByName(answers(s, d).agg(F.lit("summary").alias("qid"), F.sum("tokens").alias("tokens"))).where("qid = 'summary'"),
     "ex_domain_tallies": lambda s, d: table(s, d, "questions").groupBy("domain", "type").agg(F.count("*").alias("n")),
-    "ex_plan_graph": lambda s, d: x.decide(graph.profile(*c3_graph.parts(s, d))),
-    "ex_plan_rec": lambda s, d: x.decide(recsys.profile(*c3_recsys.parts(s, d))),
+    "ex_plan_graph": lambda s, d: x.decide(graph.profile(*c3_graph.parts(s, d)), "classification"),
+    "ex_first_trial": lambda s, d: x.first_trial(graph.profile(*c3_graph.parts(s, d)), "classification"),
+    "ex_append_trial": lambda s, d: x.append_trial(log(s, d).select("id", "source", "metric"), log(s, d).agg(F.lit("new").alias("source"), F.max("metric").alias("metric"))),
+    "ex_calibrated": lambda s, d: x.calibrated(answers(s, d), "domain", "pred", "gold", "confidence", "tokens", 5_000_000.0),
+    "ex_plan_rec": lambda s, d: x.decide(c3_recsys.profile(s, d), "recommendation"),
 }
 
 T = """with g as (select source, count(*) as n, round(avg(coalesce(lang in ('zh','en','de','fr','es','pt'), false)::int), 6) as metric, count(distinct domain) as domains, round(avg(n_chars), 4) as chars from documents where source is not null group by source),
@@ -79,11 +82,15 @@ l as (select *, case when length(gold) = 0 then case when length(pred) = 0 then
 co as (select p_partkey, p_brand, round(((1 - el) * 100 + coalesce(table_score * 100, 100) + (1 - ol) * 100) / 3, 6) as overall3, round(((1 - el) * 100 + (1 - ol) * 100) / 2, 6) as overall2, table_score::double as table_score from l)"""
 
 
-def rules(profile_sql: str, fields: list[str]) -> str:
-    v = " union all ".join(f"select {i} as no, '{f}' as field, (select {f}::double from pf) as value, '{dec}' as decision, {pr} as priority, {th} as threshold, '{c}' as cmp" for i, (f, c, th, dec, pr) in enumerate(x.RULES) if f in fields)
-    return f"with pf as ({profile_sql}), ru as ({v}) select no, field, value, decision, priority from ru where case when cmp = '>' then value > threshold else value <= threshold end"
+def rules(profile_sql: str, rows: list[tuple[str, str, str, str, str]]) -> str:
+    """One branch a rule: model, priority, signal, hint, condition."""
+    v = " union all ".join(f"select {i} as rule, '{m}' as model, ({p})::int as priority, '{s}=' || round(coalesce({s}, 0)::double, 4)::varchar as signal, {h} as hint from pf where {c}" for i, (m, p, s, h, c) in enumerate(rows))
+    return f"with pf as ({profile_sql}), ru as ({v}) select (row_number() over (order by priority, rule) - 1)::int as no, model, priority, signal, hint from ru"
 
 
+BALANCED = "case when coalesce(imbalance, 1) >= 3 then 'balanced' end"
+GRAPH = [("lightgbm", "1", "isolated_share", BALANCED, "true"), ("feature_mlp", "2", "mean_degree", BALANCED, "true"), ("correct_and_smooth", "1", "homophily", "null", "homophily >= 0.6"), ("feature_propagation", "3", "isolated_share", "null", "isolated_share >= 0.1"), ("gcn", "case when mean_degree >= 5 then 3 else 4 end", "mean_degree", "null", "true")]
+REC = [("popularity", "1", "cold_share", "null", "true"), ("repeat_freq", "1", "repeat_rate", "null", "repeat_rate >= 0.3"), ("covisitation", "2", "repeat_rate", "null", "true"), ("blend", "1", "repeat_rate", "null", "true"), ("item_content_knn", "2", "n_items", "null", "n_items >= 5000"), ("sasrec", "case when cold_share >= 0.3 then 4 else 3 end", "cold_share", "null", "true")]
 ORACLE = {
     "ex_trials": T + " select id, source, metric, status, size from t",
     "ex_best": T + " select id, metric from t where status = 'ok' order by metric desc, id limit 1",
@@ -104,11 +111,15 @@ ORACLE = {
     "ex_means_by_kind": P + " select p_brand, round(avg(overall2), 6) as mean, round(avg(table_score), 6) as table_mean from co group by p_brand",
     "ex_ordinal_scores": """with t as (select table_id as id, min(doc_id) as doc_id, round(min(length(markdown)) / 1000.0, 6) as score from doc_tables group by table_id), g as (select *, row_number() over (partition by doc_id order by id) as k from t where score is not null),
 p as (select *, row_number() over (partition by doc_id order by id) as k from t where score > 0.25) select g.doc_id, count(*) as n, round(avg(coalesce(p.score, 0)), 6) as score from g left join p on p.doc_id = g.doc_id and p.k = g.k group by g.doc_id""",
-    "ex_resume": "select c_custkey as key from customer where c_custkey not in (select user_id from events where event_id % 3 = 0 and event_type != 'error')",
+    "ex_resume": "select c_custkey as key from customer where c_custkey not in (select user_id from events where event_type != 'error')",
     "ex_last_per_key": "select user_id as key, max(event_id) as seq, arg_max(event_type != 'error', event_id) as ok, arg_max(value, event_id) as value from events group by user_id",
-    "ex_merge_parts": "with k as (select distinct block_id from doc_blocks), a as (select block_id, min(text) as text from doc_blocks where page % 2 = 0 group by 1), b as (select block_id, min(text) as text from doc_blocks where page % 2 = 1 group by 1) select k.block_id, coalesce(a.text, b.text) as text, coalesce(a.text, b.text) is null as missing, coalesce(a.text, b.text) = '' as blank from k left join a using (block_id) left join b using (block_id)",
+    "ex_merge_parts": "with k as (select distinct block_id from doc_blocks), a as (select block_id, min(text) as text from doc_blocks where page is null or page % 2 = 0 group by 1), b as (select block_id, min(text) as text from doc_blocks where page % 2 = 1 group by 1) select k.block_id, coalesce(a.text, b.text) as text, coalesce(a.text, b.text) is null as missing, coalesce(a.text, b.text) = '' as blank from k left join a using (block_id) left join b using (block_id)",
     "ex_summary_split": A + " select 'summary' as qid, sum(tokens)::bigint as tokens from an",
     "ex_domain_tallies": "select domain, type, count(*) as n from questions group by all",
-    "ex_plan_graph": rules(c3_graph.ORACLE["c3_graph_profile"], ["imbalance", "homophily", "isolated_share", "mean_degree"]),
-    "ex_plan_rec": rules(c3_recsys.ORACLE["c3_rec_profile"], ["repeat_rate", "cold_share", "mean_len"]),
+    "ex_plan_graph": rules(c3_graph.ORACLE["c3_graph_profile"], GRAPH),
+    "ex_plan_rec": rules(c3_recsys.ORACLE["c3_rec_profile"], REC),
+    "ex_first_trial": f"select case when homophily >= 0.6 then 'lightgbm(class_weight=balanced) + correct_and_smooth' else 'lightgbm(class_weight=balanced)' end as first_trial from ({c3_graph.ORACLE['c3_graph_profile']})",
+    "ex_append_trial": T + " select id, source, metric from t union all select count(*)::int, 'new', max(metric) from t",
+    "ex_calibrated": A + """, f as (select *, (pred = gold)::int as ok from an where confidence != 'defective'), gr as (select domain, count(*) as n, sum(ok)::bigint as "right", round(avg(ok), 4) as accuracy, count(*) filter (confidence = 'high') as high_n, round(avg(ok) filter (confidence = 'high'), 4) as high_accuracy from f group by rollup (domain)),
+tt as (select domain, sum(tokens)::bigint as tokens from an group by rollup (domain)) select gr.*, tokens, round(100 * accuracy * (0.7 + 0.3 * greatest(0.0, least(1.0, (5000000.0 - tokens) / 5000000.0))), 4) as score from gr join tt on gr.domain is not distinct from tt.domain""",
 }

@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.operators import recsys as r
+from orrery.session import written
 from orrery.tables import table
 
 
+_BUILT: dict = {}
+
+
+def interactions(s, d):
+    """All interactions in order, written once a session."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        _BUILT[key] = written(r.interactions(table(s, d, "orders"), table(s, d, "lineitem")), "uid", "pos")
+    return _BUILT[key]
+
+
 def parts(s, d):
-    return r.split(r.interactions(table(s, d, "orders"), table(s, d, "lineitem")))
+    return r.split(interactions(s, d))
 
 
 def sequences(s, d):
@@ -20,9 +32,15 @@ def sequences(s, d):
 
 
 def ranked(s, d, fifth=0):
+    """Ranking of the held-out users, fitted to the others."""
     hist, tgt = parts(s, d)
-    out, _ = r.holdout(tgt, "uid", fifth)
-    return r.rank(hist, out), out
+    out, rest = r.holdout(tgt, "uid", fifth)
+    return r.rank(hist.join(rest.select("uid"), "uid", "left_semi"), rest, out, hist), out
+
+
+def profile(s, d):
+    one = interactions(s, d).agg(F.count_distinct("iid").alias("n_items"))
+    return r.profile(*parts(s, d)).join(F.broadcast(one), F.lit(True))  # single rows
 
 
 def scores(s, d):
@@ -54,8 +72,8 @@ QUERIES = {
     "c3_sequences": sequences,
     "c3_parse_tokens": lambda s, d: sequences(s, d).select("uid", F.size(r.tokens("item_seq_raw")).alias("n"), F.try_element_at(r.tokens("item_seq_raw"), F.lit(-1)).alias("last")),
     "c3_parse_counts": lambda s, d: sequences(s, d).select("uid", F.explode(r.counts("item_seq_counts")).alias("x")).select("uid", "x.iid", "x.cnt"),
-    "c3_rec_profile": lambda s, d: r.profile(*parts(s, d)),
-    "c3_popular": lambda s, d: r.top_popular(parts(s, d)[0]),
+    "c3_rec_profile": profile,
+    "c3_popular": lambda s, d: r.top_popular(parts(s, d)[1]),
     "c3_covisits": lambda s, d: r.covisits(parts(s, d)[0]),
     "c3_holdout": holdout_sizes,
     "c3_rank": lambda s, d: ranked(s, d)[0],
@@ -72,15 +90,19 @@ h as (select * from i where pos < n), t as (select uid, iid as target, n - 1 as
 c as (select uid, iid, count(*) as cnt, min(pos) as first from h group by all)
 """
 HELD = SEQ + """, o as (select * from t where ('0x' || substr(md5(uid::varchar), 1, 8))::bigint % 5 = 0)"""
-CO = """, rc as (select uid, iid from (select uid, iid, row_number() over (partition by uid order by first desc) as r from c) where r <= 10),
+def co(src: str) -> str:
+    """Co-visits of the users in `src`."""
+    return f""", rc as (select uid, iid from (select uid, iid, row_number() over (partition by uid order by first desc) as r from c where uid in (select uid from {src})) where r <= 10),
 cv as (select a.iid as a, b.iid as b, count(*) as cnt from rc a join rc b using (uid) where a.iid != b.iid group by all)"""
-RANK = HELD + CO + """, m as (select c.uid, c.iid, c.cnt, c.cnt / max(c.cnt) over (partition by c.uid) as h from c join o using (uid)),
+
+
+RANK = HELD + ", rs as (select * from t where uid not in (select uid from o))" + co("rs") + """, m as (select c.uid, c.iid, c.cnt, c.cnt / max(c.cnt) over (partition by c.uid) as h from c join o using (uid)),
 co0 as (select m.uid, cv.b as iid, sum(m.cnt * cv.cnt) as co from m join cv on m.iid = cv.a group by all), co as (select uid, iid, co / max(co) over (partition by uid) as c from co0),
-pp as (select iid, count(*) as pop from h group by iid), np as (select iid, pop / (select max(pop) from pp) as p from pp), hd as (select iid from np order by p desc, iid limit 50),
+pp as (select target as iid, count(*) as pop from rs group by target), np as (select iid, pop / (select max(pop) from pp) as p from pp), hd as (select iid from np order by p desc, iid limit 50),
 cd as (select uid, iid, max(h) as h, max(c) as c from (select uid, iid, h, null as c from m union all select uid, iid, null, c from co union all select uid, iid, null, null from o cross join hd) group by all),
 sc as (select uid, iid, round(2.0 * coalesce(h, 0) + 1.0 * coalesce(c, 0) + 0.2 * coalesce(p, 0), 6) as score from cd left join np using (iid)),
 rk as (select * from (select *, row_number() over (partition by uid order by score desc, iid) as rank from sc) where rank <= 10)"""
-ND = RANK + """, nd as (select o.uid, o.target, o.len, coalesce(1 / log2(rk.rank + 1.0), 0) as ndcg from o left join rk on rk.uid = o.uid and rk.iid = o.target)"""
+ND = RANK + """, nd as (select o.uid, o.target, o.len, round(coalesce(1 / log2(rk.rank + 1.0), 0), 6) as ndcg from o left join rk on rk.uid = o.uid and rk.iid = o.target)"""
 SEQS = SEQ + """, s as (select t.uid, target, (select string_agg(iid::varchar, ', ' order by pos) from h where h.uid = t.uid) as item_seq_raw from t),
 cs as (select uid, string_agg(iid || ':' || cnt, ',' order by first) as item_seq_counts from c group by uid)"""
 
@@ -91,10 +113,10 @@ ORACLE = {
     "c3_rec_profile": SEQ
     + """, b as (select uid, arg_min(iid, (-cnt, first)) as often from c group by uid), l as (select uid, arg_max(iid, pos) as last from h group by uid), tp as (select target from t group by target order by count(*) desc, target limit 10)
 select count(*) as n_users, round(avg(len), 4) as mean_len, trunc(quantile_cont(len, 0.5))::int as median_len, trunc(quantile_cont(len, 0.9))::int as p90_len, max(len) as max_len, round(avg((len <= 2)::int), 4) as cold_share, round(avg((len = 0)::int), 4) as empty_share,
-  round(avg((c.iid is not null)::int), 4) as repeat_rate, round(avg(coalesce((target = last)::int, 0)), 4) as target_is_last, round(avg(coalesce((target = often)::int, 0)), 4) as target_is_most_frequent, round(avg((target in (from tp))::int), 4) as target_in_top10
+  round(avg((c.iid is not null)::int), 4) as repeat_rate, round(avg(coalesce((target = last)::int, 0)), 4) as target_is_last, round(avg(coalesce((target = often)::int, 0)), 4) as target_is_most_frequent, round(avg((target in (from tp))::int), 4) as target_in_top10, (select count(distinct iid) from i) as n_items
 from t left join b using (uid) left join l using (uid) left join c on c.uid = t.uid and c.iid = t.target""",
-    "c3_popular": SEQ + " select iid, count(*) as pop from h group by iid order by pop desc, iid limit 10",
-    "c3_covisits": SEQ + CO + " select * from cv",
+    "c3_popular": SEQ + " select target as iid, count(*) as pop from t group by target order by pop desc, iid limit 10",
+    "c3_covisits": SEQ + co("t") + " select * from cv",
     "c3_holdout": HELD + " select count(*) as n, sum(target)::bigint as checksum, 'held_out' as part from o union all select count(*), sum(target)::bigint, 'rest' from t where uid not in (select uid from o)",
     "c3_rank": RANK + " select uid, iid, score, rank from rk",
     "c3_ndcg": ND + " select uid, target, len, round(ndcg, 6) as ndcg from nd",

@@ -1,8 +1,11 @@
-"""Session helpers: a local session for tests and the folder that cuts lineage."""
+"""Session helpers: a local session for tests and the shared folder that cuts lineage."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,14 +28,32 @@ def local_session(cores: int = 8, app: str = "orrery", **conf: str) -> SparkSess
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; a folder of our own is
-    made only where none is set, as in tests. Survives the loss of any executor.
+    Only a local master, as in tests, gets a temporary folder of its own where none is named; a cluster without one is an error, as its executors
+    share no temporary folder.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="orrery-checkpoint-")
+            atexit.register(shutil.rmtree, named, True)
+        sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared checkpoint folder and go on from there. Survives the loss of any executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, *sort: str) -> DataFrame:
+    """`df` as a table in the shared folder, sorted within its files so that their statistics prune: for what is read often, by few columns."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

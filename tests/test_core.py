@@ -21,7 +21,7 @@ def one(spark, fn, *values):
 @pytest.mark.parametrize(
     ("fn", "value", "want"),
     [
-        (t.normalize, "合 同  第 3 条  a  b", "合同第3条 a b"), (t.heading_rank, "第三章 总则", 2), (t.heading_rank, "（二）责任", 5), (t.heading_rank, "text", None), (t.article_no, "第十二条 保险责任", "第十二条"), (t.article_no, "2.3.1 Scope", "2.3.1"),
+        (t.normalize, "合 同  第 3 条  a  b", "合同第3条 a b"), (t.heading_rank, "第三章 总则", 1), (t.heading_rank, "第三节 总则", 2), (t.heading_rank, "（二）责任", 4), (t.heading_rank, "1.2 范围说明", 2), (t.heading_rank, "3、保险责任", 5), (t.heading_rank, "(3) 保险责任", 6), (t.heading_rank, "3、保险责任，如下。", None), (t.heading_rank, "text", None), (t.article_no, "第十二条 保险责任", "第十二条"), (t.article_no, "2.3.1 Scope", ""), (t.article_no, "第二〇条 责任", "第二〇条"), (t.han_number, "二百零五", 205), (t.han_number, "百", 100), (t.han_number, "两", 2), (t.han_number, "零", None), (t.roman_grades, "因素II与X线", "因素Ⅱ与X线"), (t.normalize, "《 保险 》　第 一 条\n （ x）", "《保险》第一条\n （x）"),
         (t.strip_latex, "a \\textbf{b \\emph{c}} $d^{2}$", "a b c d2"), (t.strip_fences, "```md\nx\n```", "x"), (t.strip_html, "<p>a</p><p>b</p>", "a\nb"), (t.evaluation_form, "a \t b\r\n\n\n\nc ", "a b\n\nc"), (t.caption_like, "表一：营业收入", True), (t.caption_like, "12 元", False),
         (t.han_number, "三百二十五", 325), (t.han_number, "十二", 12), (t.han_number, "x", None), (t.flatten_scripts, "m²H₂O", "m2H2O"), (t.roman_grades, "II级", "Ⅱ级"), (t.flatten_math, "\\frac{a}{b} \\times c", "a/b × c"), (t.fix_multi_dots, "1.234.56", "1,234.56"), (t.fix_multi_dots, "1.2.3", "1.2.3"),
         (t.looks_like_error, '{"error": 1}', True), (t.truncated, "<table><tr>", True), (t.pseudo_heading, "说明。", True), (t.chapter_title, "第一章 总则", True), (t.nfkc, "Ａ①", "A1"), (t.collapse_repeats, "a\n\na\nb", "a\n\nb"), (t.drop_adjacent, "a\n\na\nb\na", "a\n\nb\na"), (t.html_text, "<head>x</head><p>a</p>", "a"),
@@ -33,8 +33,12 @@ def test_text(spark, fn, value, want):
 
 
 def test_answers(spark):
-    assert one(spark, lambda c: F.array_join(t.letters(c), ""), "So\nanswer: C, A") == "AC"
-    assert one(spark, t.verdicts, "A: x -> true\nB: y -> false\nC. z -> right") == "AC"
+    assert one(spark, lambda c: F.array_join(t.letters(c), ""), "So\nanswer: C, A") == "CA"
+    said = "选项A：符合 → 不符合\n选项B: 看 → 真\n选项 C：错误\n选项D 成立\n选项B：假"
+    assert one(spark, lambda c: t.verdicts(c, F.lit("multi")), said) == "BD" and one(spark, lambda c: t.verdicts(c, F.lit("mcq")), said) == "B" and one(spark, lambda c: t.verdicts(c, F.lit("multi")), "none") == ""
+    for line, want in [("第十二条 x", ("art", [12])), ("第一章", ("chap", [1])), ("三、x", ("cndun", [3])), ("（四）x", ("cnpar", [4])), ("四) x", ("cnpar", [4])), ("(5) x", ("numpar", [5])), ("１．２ x", ("dec", [1, 2])), ("7 x", ("int", [7])), ("③ x", ("circ", [3])), ("x", ("title", [])), ("", ("title", []))]:
+        m = one(spark, t.marker, line)
+        assert (m["kind"], m["path"]) == want, line
     assert one(spark, lambda c: t.canonical_answer(c, F.lit("multi")), "c, a, c") == "AC" and one(spark, lambda c: t.canonical_answer(c, F.lit("mcq")), "b a") == "B" and one(spark, lambda c: t.canonical_answer(c, F.lit("mcq")), None) == ""
     assert one(spark, lambda c: t.last_json(c, "x"), 'a {"x": 1} b {"x": 2}') == "2" and one(spark, t.line_similarity, "", " ") == 1.0 and one(spark, lambda c: t.marker(c).kind, "1.2.3 Scope") == "dec"
 
@@ -67,13 +71,28 @@ def test_full_smoothing_queries(spark, monkeypatch):
     x0 = x = np.where(train, hot, np.maximum(0, prior + x))
     for _ in range(50):
         x = np.maximum(0, 0.2 * x0 + 0.8 * a @ x)
-    got = {(r["node"], r["label"]): r["v"] for r in c3_graph.QUERIES["c3_correct_smooth_full"](spark, "").collect()}
+    got = {(r["node"], r["label"]): r["v"] for r in c3_graph.QUERIES["c3_correct_smooth"](spark, "smoothing test").collect()}
     assert len(got) == 10 and all(abs(v - x[k]) < 1e-5 for k, v in got.items())
-    steps = []
-    monkeypatch.setattr(c3_graph.g, "correct_and_smooth", lambda e, n, prior, n1, n2: steps.append((n1, n2)) or prior)
-    for name in ("predictions", "slices", "confusions", "accuracy"):
-        c3_graph.QUERIES[f"c3_{name}_full"](spark, "")
-    assert steps == [(50, 50)] * 4
+
+
+def test_stratified_split_and_backbone(spark):
+    n = spark.createDataFrame([(i, i % 3 if i % 7 else None, "x") for i in range(200)] + [(500, 9, "x")], "node long, label int, split string")
+    x = graph.stratified(n)
+    got = {(r["label"], r["split"]): r["count"] for r in x.groupBy("label", "split").count().collect()}
+    sizes = {r["label"]: r["count"] for r in n.groupBy("label").count().collect()}
+    assert all(got.get((k, "test"), 0) == int(v * 0.2 + 0.5) and got[k, "train"] == v - int(v * 0.2 + 0.5) for k, v in sizes.items()) and graph.stratified(n.limit(0)).count() == 0
+    f = spark.createDataFrame([(i, i % 2, "train" if i < 60 else "test", float(i % 2) + 0.01 * (i % 5), None if i == 3 else 1.0) for i in range(80)], "node long, label int, split string, a double, b double")
+    p = graph.predicted(graph.backbone(f, ["a", "b"])).join(f, "node")
+    assert p.count() == 80 and p.where("pred = label").count() == 80
+    e = spark.createDataFrame([(0, 1)], "src long, dst long")
+    assert graph.correct_and_smooth(e.limit(0), n.limit(0), graph.uniform_prior(n.limit(0))).count() == 0
+
+
+def test_panel_seams(spark):
+    from orrery.operators import tables
+
+    r = spark.createDataFrame([("a", 0, 9), ("a", 20, 40), ("a", 5, 12), ("b", 0, 63)], "img string, start int, end int")
+    assert [tuple(x) for x in tables.seams(r, 64).collect()] == [("a", 13, 19)]
 
 
 def test_ndcg_ranks(spark):
@@ -90,15 +109,50 @@ def test_metric_identities():
     assert documents.tree_distance(("a", [("b", []), ("c", [])]), ("a", [("b", [])])) == 1 and documents.monotone_alignment(["aa", "bb", "cc"], ["bb", "cc"]) == [(1, 0), (2, 1)]
 
 
+SCHEMA = "chunk_id string, doc_id string, domain string, type string, breadcrumb string, text string, seq int, indexed_at timestamp"
+
+
 def test_retrieval_two_plans_agree(spark):
-    ch = spark.createDataFrame([("c1", "d1", "x", "text", None, "alpha beta beta", 0), ("c2", "d1", "x", "text", None, "gamma", 1), ("c3", "d2", "x", "text", None, None, 0), ("c4", "d2", "x", "text", None, "beta delta", 1)], "chunk_id string, doc_id string, domain string, type string, breadcrumb string, text string, seq int")
+    at = dt.datetime(2024, 1, 1)
+    data = [("c1", "d1", "x", "text", None, "alpha beta beta", 0, at), ("c2", "d1", "x", "text", None, "gamma", 1, at), ("c3", "d2", "x", "text", None, None, 0, at), ("c4", "d2", "x", "text", "", "beta delta", 1, at), ("c4", "d2", "y", "old", None, "zz", 7, None), (None, "d2", "x", "text", None, "beta", 2, at)]
+    df = spark.createDataFrame(data, SCHEMA).withColumn("token", F.lit("clash"))
+    ix = retrieval.build(df)
+    assert [(r["text"], r["seq"]) for r in ix.chunks.where("chunk_id = 'c4'").collect()] == [("beta delta", 1)]
     q = retrieval.queries(spark.createDataFrame([("q", "beta beta delta"), ("r", None)], "qid string, t string"), "qid", "t")
     cand = spark.createDataFrame([("q", "d1"), ("q", "d2")], "qid string, doc_id string")
-    a = {(r["chunk_id"], r["score"]) for r in retrieval.search(q, ch).collect()}
-    b = {(r["chunk_id"], r["score"]) for r in retrieval.search_local(q, cand, ch).collect()}
-    assert a <= b and {x for x, _ in b - a} == {"c2", "c3"}
-    assert retrieval.search(q, ch.limit(0)).count() == 0
-    assert [r["neighbour"] for r in retrieval.neighbours(spark.createDataFrame([("q", "c1", "d1")], "qid string, chunk_id string, doc_id string"), ch).collect()] == ["c2"]
+    a = {(r["chunk_id"], r["score"]) for r in retrieval.search(q, ix).collect()}
+    b = {(r["chunk_id"], r["score"]) for r in retrieval.search_local(q, cand, ix).collect()}
+    assert a <= b and {x for x, _ in b - a} == {"c2", "c3"} and {(r["chunk_id"], r["score"]) for r in retrieval.search_docs(q, cand, ix).collect()} == a
+    assert retrieval.search(q, retrieval.build(df.limit(0))).count() == 0
+    assert [r["neighbour"] for r in retrieval.neighbours(spark.createDataFrame([("q", "c1", "d1")], "qid string, chunk_id string, doc_id string"), ix.chunks).collect()] == ["c2"]
+
+
+def test_phrases_are_found_at_any_offset(spark):
+    words = lambda x: set(one(spark, lambda c: retrieval.tokens(c), x))
+    phrase = words("保险合同解除")
+    for before in ("", "本", "若本", "甲方的", "A"):
+        assert phrase <= words(before + "保险合同解除后")
+    assert words("a1, 的营业收入 7% 第X条") >= {"a1", "7%", "营业收入", "第", "条"} and "的" not in words("x 的 y") and words(None) == words("") == set()
+    assert one(spark, lambda c: retrieval.tokens(c, mode="char"), "保a的") == ["保", "a"]
+
+
+def test_routes_and_facts(spark):
+    at = dt.datetime(2024, 1, 1)
+    text = {"rep_2023_1": "甲公司营业收入增长", "rep_2024_1": "甲公司营业收入增长", "doc9": "乙公司违约处理条款"}
+    ix = retrieval.build(spark.createDataFrame([(f"{d}c{k}", d, "x", "text", None, x, k, at) for d, x in text.items() for k in range(3)] + [(f"z{k}", "z", "x", "text", None, "其他内容", k, at) for k in range(30)], SCHEMA))
+    names = spark.createDataFrame([("rep_2023_1", "甲公司年度报告2023"), ("rep_2024_1", "甲公司年度报告2024"), ("doc9", "乙公司债券募集说明书")], "doc_id string, name string")
+    all_ = list(text)
+    asks = [("a", "第二份文件的营业收入", all_), ("b", "甲公司2024年营业收入", all_[:2]), ("c", "违约处理条款", all_), ("d", "无关", all_), ("e", "乙公司债券募集的条款", all_), ("f", "x", ["doc9"]), ("g", "x", []), ("h", None, all_[:2])]
+    df = spark.createDataFrame(asks, "qid string, ask string, cand array<string>")
+    got = {}
+    for r in retrieval.route(df.where("qid != 'h'"), ix, names).orderBy("qid", "place").collect():
+        got.setdefault(r["qid"], []).append(r["doc_id"])
+    assert got == {"a": ["rep_2024_1"], "b": ["rep_2024_1"], "c": ["doc9"], "d": all_, "e": ["doc9"], "f": ["doc9"]}
+    assert one(spark, lambda c: F.array_join(retrieval.named_in(c, F.array(*[F.lit(x) for x in all_])), ","), "前者与第3篇、text_9") == "rep_2023_1,doc9"
+    assert one(spark, retrieval.shared_run, "营业收入增长率", "本年营业收入") == 4 and one(spark, retrieval.shared_run, "", "x") == 0 and one(spark, retrieval.shared_run, None, "x") == 0
+    q = spark.createDataFrame([("q", "x", "乙公司债券募集说明书怎样规定", {"A": "违约处理条款", "B": "营业收入均增长", "C": "违约处理条款"}, "mcq", all_), ("t", "x", "营业收入", None, "tf", all_)], "qid string, domain string, question string, options map<string,string>, answer_format string, doc_ids array<string>")
+    f = {(r["qid"], r["option_id"]): r["docs"] for r in retrieval.decompose(q, ix, names).collect()}
+    assert f["q", "A"] == ["doc9"] and ("q", "C") not in f and len(f["q", "B"]) == 2 and f["q", "shared"] == ["doc9"] and f["t", "shared"][:1] == ["rep_2023_1"]
 
 
 def test_sequences(spark):
@@ -166,7 +220,7 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got <= want and len(got) > 4  # windows within the watermark's delay stay open
 
 
-NAMES = ["c1_active", "c1_quote_relative", "c3_rec_profile", "c3_ndcg_by_slice", "c3_graph_profile", "c4_bm25_local", "c4_route_lead", "tx_heading_rank", "qa_collapse_repeats", "gr_reassemble", "wn_fill_gaps", "ex_graded_rollup", "st_sessions", "c3_correct_smooth"]
+NAMES = ["c1_active", "c1_quote_relative", "c3_rec_profile", "c3_ndcg_by_slice", "c3_graph_profile", "c4_bm25_local", "c4_route", "c4_decompose", "tx_marker", "tx_heading_rank", "qa_collapse_repeats", "gr_reassemble", "wn_fill_gaps", "ex_graded_rollup", "st_sessions", "c3_correct_smooth"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -199,11 +253,11 @@ def test_whole_tables_are_judged(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view doc_tables as select * from read_parquet('{tmp_path}/doc_tables.parquet/*.parquet')")
     got = {}
-    for name in ("qa_truncated_whole", "qa_tile_reason_whole"):
+    for name in ("qa_truncated", "qa_tile_reason"):
         got[name] = {r[0]: r[1] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
         assert got[name] == dict(con.execute(registry.ORACLE[name]).fetchall())
-    assert {k for k, v in got["qa_truncated_whole"].items() if v} == {"cut", "late_cut"}
-    reason = got["qa_tile_reason_whole"]
+    assert {k for k, v in got["qa_truncated"].items() if v} == {"cut", "late_cut"}
+    reason = got["qa_tile_reason"]
     assert reason["closed"] is None and reason["cut"] == reason["late_cut"] == "truncated" and reason["late"] is None and reason["flat"] == "flat"
 
 
