@@ -1,4 +1,4 @@
-"""Document-level programs that need a whole document's order: chunking, heading levels, strip merging, alignment and table distances.
+"""Document-level programs that need a whole document's order: chunking, alignment and table distances.
 
 Each runs over Arrow batches of one document (or pair) at a time, input sorted inside the group; a document is bounded by its pages, and no group spans
 documents. Null texts count as empty; empty documents give no rows.
@@ -19,100 +19,58 @@ HEAD = re.compile(r"^(#{1,6})\s+(.*)")
 TARGET, MOST = 300, 400
 
 
+CLEAN = re.compile("[。，；：、？！]")
+ARTICLE = re.compile(r"第[一二三四五六七八九十百零〇\d]+条")
+
+
+def breadcrumb(path: list[str], article: str | None, levels: int = 2, longest: int = 24) -> str:
+    """The last `levels` section names that are short and no sentences, and the clause number."""
+    parts = [x for x in path if len(x) <= longest and not CLEAN.search(x)][-levels:] + ([article] if article else [])
+    return "[" + " › ".join(parts) + "]" if parts else ""
+
+
 def chunk_documents(blocks: DataFrame, target: int = TARGET, most: int = MOST) -> DataFrame:
-    """(doc_id, seq, section_path, kind, text) from blocks (doc_id, pos, type, level, text).
+    """(doc_id, seq, section_path, breadcrumb, article_no, kind, text) from blocks (doc_id, pos, type, level, text).
 
-    Headings set a stack of sections; table rows carry their header; paragraphs are packed to about `target` characters and long ones cut at sentences so
-    that no piece exceeds `most` unless a sentence does.
+    Headings set a stack of sections; each table row carries its header; a paragraph of more than `most` characters is cut at its sentences, packed to about `target`.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, stack, buf = [], [], ""
+        rows, stack = [], []
 
-        def flush():
-            nonlocal buf
-            if buf.strip():
-                rows.append(("text", " > ".join(x for _, x in stack), buf.strip()))
-            buf = ""
+        def add(kind, text, article=None):
+            path = [x for _, x in stack]
+            rows.append((kind, " > ".join(path), breadcrumb(path, article), article, text))
 
         for r in pdf.sort_values("pos").itertuples():
-            text = r.text or ""
+            text = (r.text or "").strip()
             if r.type == "heading":
-                flush()
                 level = int(r.level or 1)
                 while stack and stack[-1][0] >= level:
                     stack.pop()
-                stack.append((level, text.strip()))
+                stack.append((level, text))
             elif r.type == "table" and text.startswith("|"):
-                flush()
                 lines = [x for x in text.split("\n") if x.startswith("|") and not re.fullmatch(r"[| :-]+", x)]
-                rows += [("table_row", " > ".join(x for _, x in stack), lines[0] + "\n" + x) for x in lines[1:]]
-            else:
-                for s in re.findall(r"[^。！？!?\n]+[。！？!?\n]?", text):
-                    if buf and len(buf) + len(s) > most or len(buf) >= target:
-                        flush()
-                    buf += s
-                if len(buf) >= target:
-                    flush()
-        flush()
-        doc = pdf["doc_id"].iloc[0]
-        return pd.DataFrame([(doc, i, p, k, t) for i, (k, p, t) in enumerate(rows)], columns=["doc_id", "seq", "section_path", "kind", "text"])
-
-    return blocks.where("doc_id is not null").groupBy("doc_id").applyInPandas(one, "doc_id string, seq int, section_path string, kind string, text string")
-
-
-def heading_levels(lines: DataFrame) -> DataFrame:
-    """(doc_id, pos, level): levels of numbered headings (doc_id, pos, kind, path) from a stack of open series.
-
-    A marker that continues an open series takes its level; one that extends the open one by a number goes a level deeper; a new kind opens below what is open; levels stay
-    within 1 to 6.
-    """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        stack: list[tuple[str, tuple, int]] = []
-        out = []
-        for r in pdf.sort_values("pos").itertuples():
-            path = tuple(int(x) for x in r.path.split(".")) if r.path else ()
-            level = None
-            for k in range(len(stack) - 1, -1, -1):
-                kind, p, lv = stack[k]
-                if kind == r.kind and len(p) == len(path) and p[:-1] == path[:-1] and path[-1:] > p[-1:]:
-                    level, stack = lv, stack[:k]
-                    break
-                if kind == r.kind and len(path) == len(p) + 1 and path[:-1] == p:
-                    level, stack = lv + 1, stack[: k + 1]
-                    break
-            if level is None:
-                if path[-1:] == (1,) and stack:
-                    level = stack[-1][2] + 1
-                else:
-                    level, stack = 1, []
-            level = max(1, min(6, level))
-            stack.append((r.kind, path, level))
-            out.append((pdf["doc_id"].iloc[0], int(r.pos), level))
-        return pd.DataFrame(out, columns=["doc_id", "pos", "level"])
-
-    return lines.groupBy("doc_id").applyInPandas(one, "doc_id string, pos int, level int")
-
-
-def merge_strips(strips: DataFrame, most: int = 8, similarity: float = 0.85) -> DataFrame:
-    """(doc_id, text): strips (doc_id, pos, text) in order; where one ends inside a table and the next begins with its rows again, the repeated rows go. Plain text is never dropped."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        acc: list[str] = []
-        for r in pdf.sort_values("pos").itertuples():
-            lines = (r.text or "").strip("\n").split("\n")
-            drop = 0
-            if acc and acc[-1].startswith("|") and lines[0].startswith("|"):
-                for k in range(min(most, len(acc), len(lines)), 0, -1):
-                    pairs = list(zip(acc[-k:], lines[:k], strict=True))
-                    if sum(difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in pairs) / k >= similarity:
-                        drop = k
-                        break
-            acc += lines[drop:]
-        return pd.DataFrame([(pdf["doc_id"].iloc[0], "\n".join(acc))], columns=["doc_id", "text"])
-
-    return strips.groupBy("doc_id").applyInPandas(one, "doc_id string, text string")
+                for x in lines[1:]:
+                    add("table_row", lines[0] + "\n" + x)
+            elif text:
+                m = ARTICLE.match(text)
+                kind, article = ("clause", m[0]) if m else ("text", None)
+                if len(text) <= most:
+                    add(kind, text, article)
+                    continue
+                buf = ""
+                for x in re.findall(r"[^。！？!?\n]+[。！？!?]?|\n", text):
+                    if buf.strip() and len(buf) + len(x) > target:
+                        add(kind, buf.strip(), article)
+                        buf = ""
+                    buf += x
+                if buf.strip():
+                    add(kind, buf.strip(), article)
+        out = pd.DataFrame(rows, columns=["kind", "section_path", "breadcrumb", "article_no", "text"])
+        return out.assign(doc_id=pdf["doc_id"].iloc[0], seq=range(len(out)))[["doc_id", "seq", "section_path", "breadcrumb", "article_no", "kind", "text"]]
+
+    return blocks.where("doc_id is not null").groupBy("doc_id").applyInPandas(one, "doc_id string, seq int, section_path string, breadcrumb string, article_no string, kind string, text string")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from orrery.operators.sequences import islands, mode_width, number_format_votes, union_intervals
 
+#: Edge length of a cell in pixels below which it is enlarged, the length aimed at, and how much at most.
+UP_EDGE, UP_TARGET, UP_CAP = 40.0, 55.0, 3.0
+
 
 def clean_caption(c: Column) -> Column:
     """Tags, emphasis and heading marks go; paragraphs stay."""
@@ -146,3 +149,54 @@ def banner_html(cells: DataFrame) -> DataFrame:
     """(table_id, r, html): rows with one filled cell as a cell spanning the table's mode width."""
     b = cells.where("cell != ''").groupBy("table_id", "r").agg(F.count("*").alias("n"), F.min("cell").alias("cell")).where("n = 1")
     return b.join(mode_width(cells), "table_id").select("table_id", "r", F.concat(F.lit('<tr><td colspan="'), F.col("width"), F.lit('">'), "cell", F.lit("</td></tr>")).alias("html"))
+
+
+def strict_audit(cells: DataFrame, ink: DataFrame, columns: DataFrame) -> DataFrame:
+    """(table_id, rows, inked, too_wide, too_narrow, reason): every table's non-blank rows against the rows with ink, without tolerance.
+
+    Both are paired by their order; a row's effective width (place of its last filled cell) must lie between its ink's and the table's columns (table_id, cols). `reason` is rows,
+    width, rows+width or null.
+    """
+    w = W.partitionBy("table_id").orderBy("r")
+    a = cells.where("trim(cell) != ''").groupBy("table_id", "r").agg((F.max("c") + 1).alias("w")).withColumn("k", F.row_number().over(w)).drop("r")
+    b = ink.where("ink").groupBy("table_id", "r").agg((F.max("c") + 1).alias("iw")).withColumn("k", F.row_number().over(w)).drop("r")
+    x = a.join(b, ["table_id", "k"], "full_outer").join(columns, "table_id")
+    g = x.groupBy("table_id").agg(F.count("w").alias("rows"), F.count("iw").alias("inked"), F.count_if(F.col("w") > F.col("cols")).alias("too_wide"), F.count_if(F.col("w") < F.coalesce("iw", F.lit(0))).alias("too_narrow"))
+    rows, wide = F.col("rows") != F.col("inked"), F.col("too_wide") + F.col("too_narrow") > 0
+    return g.withColumn("reason", F.when(rows & wide, "rows+width").when(rows, "rows").when(wide, "width"))
+
+
+def cell_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(table_id, cells, agree): cells of two readings with digits in either, and those with the same digits."""
+    digits = lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), "[^0-9]", "")
+    x = a.select("table_id", "r", "c", digits(F.col("cell")).alias("a")).join(b.select("table_id", "r", "c", digits(F.col("cell")).alias("b")), ["table_id", "r", "c"], "full_outer").fillna("", ["a", "b"])
+    return x.where("a != '' or b != ''").groupBy("table_id").agg(F.count("*").alias("cells"), F.count_if(F.col("a") == F.col("b")).alias("agree"))
+
+
+def near_tables(lines: DataFrame, context: int = 4) -> DataFrame:
+    """(doc_id, line_no, line): lines within `context` of a table's lines, a mark before each gap; documents without tables whole. Lines are (doc_id, line_no, line)."""
+    w = W.partitionBy("doc_id").orderBy("line_no")
+    x = lines.withColumn("o", F.col("line").rlike("(?i)<table\\b").cast("int")).withColumn("e", F.col("line").rlike("(?i)</table>").cast("int"))
+    x = x.withColumn("depth", F.sum("o").over(w) - F.coalesce(F.sum("e").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    x = x.withColumn("inside", (F.col("depth") > 0).cast("int")).withColumn("near", F.max("inside").over(w.rowsBetween(-context, context)))
+    x = x.withColumn("any", F.max("inside").over(W.partitionBy("doc_id")))
+    x = x.where("near = 1 or any = 0").withColumn("gap", F.coalesce(F.col("line_no") > F.lag("line_no").over(w) + 1, F.lit(False)))
+    return x.select("doc_id", "line_no", F.when(F.col("gap"), F.concat(F.lit("⋯⋯\n"), "line")).otherwise(F.col("line")).alias("line"))
+
+
+def upsample(edge: Column, target: float = UP_TARGET, least: float = UP_EDGE, cap: float = UP_CAP) -> Column:
+    """How much to enlarge cells of an edge length: up to the target, at most `cap` times; not at all from `least` on."""
+    return F.when(edge < least, F.round(F.least(F.lit(cap), F.lit(target) / edge), 2)).otherwise(F.lit(1.0))
+
+
+def blank_band(rows: Column, least: float = 3.0) -> Column:
+    """Whether no row of a band (ink per row, rule rows taken out) has `least` ink."""
+    return F.coalesce(F.array_max(rows), F.lit(0.0)) < least
+
+
+def narrow_columns(bounds: Column, ink: Column, share: float = 0.5, least: float = 3.0) -> Column:
+    """Boundaries without those of phantom columns: narrower than `share` of the median width and with less than `least` ink of their own (`ink` holds each column's)."""
+    widths = F.transform(F.sequence(F.lit(1), F.size(bounds) - 1), lambda i: F.element_at(bounds, i + 1) - F.element_at(bounds, i))
+    mid = F.element_at(F.array_sort(widths), (F.size(widths) / 2).cast("int") + 1)
+    phantom = lambda i: (F.element_at(bounds, i + 1) - F.element_at(bounds, i) < share * mid) & (F.element_at(ink, i) < least)
+    return F.when(F.size(bounds) < 3, bounds).otherwise(F.filter(bounds, lambda b, i: (i == 0) | (i == F.size(bounds) - 1) | ~phantom(F.greatest(i, F.lit(1)))))

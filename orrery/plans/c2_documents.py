@@ -17,18 +17,6 @@ def blocks(s, d):
     return b.withColumn("pos", F.row_number().over(W.partitionBy("doc_id").orderBy("block_id")))
 
 
-def markers(s, d):
-    x = blocks(s, d).where("type in ('heading', 'article', 'list')").withColumn("m", F.row_number().over(W.partitionBy("doc_id").orderBy("pos")))
-    kind = F.when(F.col("type") == "heading", "int").otherwise("dec")
-    path = F.when(F.col("type") == "heading", F.col("m").cast("string")).otherwise(F.concat_ws(".", F.floor(F.col("m") / 4) + 1, F.col("m") % 4 + 1))
-    return x.select("doc_id", "pos", kind.alias("kind"), path.alias("path"))
-
-
-def strips(s, d):
-    x = c2_text.tables(s, d).where("markdown like '|%'")
-    return x.select(F.col("table_id").alias("doc_id"), F.explode(F.array(F.struct(F.lit(1).alias("pos"), F.array_join(F.expr("slice(split(markdown, '\\n'), 1, 4)"), "\n").alias("text")), F.struct(F.lit(2).alias("pos"), F.array_join(F.expr("slice(split(markdown, '\\n'), 3, 1000)"), "\n").alias("text")))).alias("x")).select("doc_id", "x.*")
-
-
 def html_pairs(s, d):
     """Each table's HTML against that of the table with its first data row gone."""
     c = c2_text.cells(s, d)
@@ -38,7 +26,7 @@ def html_pairs(s, d):
 def header_md(s, d):
     """HTML tables as Markdown, short rows padded, pipes escaped; tables with spans stay HTML."""
     x = c2_text.tables(s, d).where(F.col("markdown").rlike("(?i)<table")).select("table_id", F.col("markdown").alias("html"))
-    plain = x.where(~F.col("html").rlike("(?i)(col|row)span\\s*=\\s*[\"']?([2-9]|1[0-9])"))
+    plain = x.where(~F.col("html").rlike("(?i)(col|row)span\\s*="))
     c = q.from_html(plain).withColumn("cell", F.replace(F.col("cell"), F.lit("|"), F.lit("\\|")))
     row = c.groupBy("table_id", "r").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "cell"))), lambda y: y.cell).alias("cells"))  # one row's cells
     row = row.withColumn("w", F.max(F.size("cells")).over(W.partitionBy("table_id")))
@@ -47,13 +35,9 @@ def header_md(s, d):
 
 QUERIES = {
     "c4_chunk_documents": lambda s, d: o.chunk_documents(blocks(s, d).select("doc_id", "pos", "type", "level", "text")),
-    "c2_heading_levels": lambda s, d: o.heading_levels(markers(s, d)),
-    "c2_merge_strips": lambda s, d: o.merge_strips(strips(s, d)),
     "c2_diff_marks": lambda s, d: blocks(s, d).select("block_id", F.array_join(o.diff_marks(F.col("text"), t.strip_html(F.col("text"))), ",").alias("marks")),
-    "c2_heading_recall": lambda s, d: blocks(s, d).select("block_id", o.heading_recall(F.col("text"), F.col("text")).alias("recall")).where("recall is not null"),
     "c2_aligned_headings": lambda s, d: blocks(s, d).select("block_id", o.aligned_headings(F.col("text"), t.strip_html(F.col("text"))).alias("n")),
     "c2_table_similarity": lambda s, d: html_pairs(s, d).select("table_id", F.round(o.table_similarity("pred", "gold"), 6).alias("teds")),
-    "c2_table_self_similarity": lambda s, d: html_pairs(s, d).select("table_id", o.table_similarity("gold", "gold").alias("teds")),
     "c2_html_to_markdown": header_md,
     "c2_page_cleanup": lambda s, d: blocks(s, d).select("block_id", t.sub(t.drop_adjacent(t.strip_latex(t.sub(F.col("text"), "<([A-Za-z0-9]+)[ \\t][^>]*>", "<$1>"))), "\\n{3,}", "\n\n").alias("text")),
     "c2_split_blocks": lambda s, d: blocks(s, d).select("block_id", F.regexp_count("text", F.lit("(?is)<table.*?</table>")).alias("tables"), F.length(t.sub(F.col("text"), "(?is)<table.*?</table>", "")).alias("text_chars")),
@@ -62,9 +46,8 @@ QUERIES = {
 
 B = "with b0 as (select block_id, min(doc_id) as doc_id, min(type) as type, min(text) as text from doc_blocks where block_id is not null group by block_id)"
 ORACLE = {
-    "c2_table_self_similarity": c2_text.C + " select distinct table_id, 1.0::double as teds from ce",
     "c2_html_to_markdown": c2_text.T
-    + r""", hr as (select table_id, unnest(range(len(x)))::int as r, unnest(x) as row from (select table_id, regexp_extract_all(markdown, '(?is)<tr[^>]*>(.*?)</tr>', 1) as x from t where regexp_matches(markdown, '(?i)<table') and not regexp_matches(markdown, '(?i)(col|row)span\s*=\s*["'']?([2-9]|1[0-9])'))),
+    + r""", hr as (select table_id, unnest(range(len(x)))::int as r, unnest(x) as row from (select table_id, regexp_extract_all(markdown, '(?is)<tr[^>]*>(.*?)</tr>', 1) as x from t where regexp_matches(markdown, '(?i)<table') and not regexp_matches(markdown, '(?i)(col|row)span\s*='))),
 hc as (select table_id, r, list_transform(regexp_extract_all(row, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1), lambda c: replace(trim(replace(replace(replace(regexp_replace(c, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '|', '\|')) as cells from hr),
 w as (select *, max(len(cells)) over (partition by table_id) as w from hc where len(cells) > 0) select table_id, r, '| ' || array_to_string(list_concat(cells, list_transform(range(w - len(cells)), lambda i: '')), ' | ') || ' |' as line from w""",
     "c2_split_blocks": B + " select block_id, len(regexp_extract_all(text, '(?is)<table.*?</table>'))::int as tables, length(regexp_replace(text, '(?is)<table.*?</table>', '', 'g'))::int as text_chars from b0",

@@ -37,6 +37,51 @@ def read_answers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return a.where("qid != 'summary'"), a.where("qid = 'summary'")
 
 
+def parsed_pages(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, page_no, n_pages, markdown) of parsed documents: folders with a manifest.json and a file p<number>.md a page; pages beyond the manifest's number are left out."""
+    folder = lambda c: F.regexp_extract(c, "([^/]+)/[^/]+$", 1)
+    man = spark.read.option("multiLine", True).schema("n_pages int").json(f"{root}/*/manifest.json").select(folder(F.input_file_name()).alias("doc_id"), "n_pages")
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "p*.md").load(f"{root}/*/")
+    pages = raw.select(folder("path").alias("doc_id"), F.regexp_extract("path", r"p([0-9]+)\.md$", 1).try_cast("int").alias("page_no"), F.decode("content", "UTF-8").alias("markdown"))
+    return pages.join(man, "doc_id").where("page_no between 1 and n_pages").select("doc_id", "page_no", "n_pages", "markdown")
+
+
+#: Columns of the four recommendation files.
+RECOMMENDATION = {
+    "train": "uid string, item_seq_raw string, item_seq_dedup string, item_seq_counts string, target_iid string",
+    "test": "uid string, item_seq_raw string, item_seq_dedup string, item_seq_counts string",
+    "user": "uid string",
+    "item": "iid string",
+}
+
+
+def recommendation(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The four recommendation files by name; train and test with their de-duplicated sequence as a list in `seq`. Further columns of the files are kept as strings."""
+    from orrery.operators.recsys import tokens
+
+    out = {}
+    for name, schema in RECOMMENDATION.items():
+        df = spark.read.option("header", True).option("escape", '"').csv(f"{root}/{name}.csv")
+        missing = [c for c in (x.split()[0] for x in schema.split(", ")) if c not in df.columns]
+        df = df.select("*", *[F.lit(None).cast("string").alias(c) for c in missing])
+        out[name] = df.withColumn("seq", tokens("item_seq_dedup")) if name in ("train", "test") else df
+    return out
+
+
+def html_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(path, page, text) of HTML files, one page a file: what lies in main or article elements where there are any, else the whole page, as text."""
+    from orrery.functions.text import html_text
+
+    raw = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("html"))
+    main = F.array_join(F.regexp_extract_all("html", F.lit("(?is)<(main|article)\\b[^>]*>(.*?)</\\1>"), F.lit(2)), "\n")
+    return raw.select("path", F.lit(1).alias("page"), html_text(F.when(F.trim(main) != "", main).otherwise(F.regexp_replace("html", "(?is)<(nav|footer|aside)\\b.*?</\\1>", ""))).alias("text"))
+
+
+def write_trials(log: DataFrame, path: str) -> None:
+    """Trials appended as JSON lines."""
+    log.write.mode("append").json(path)
+
+
 def write_index(postings: DataFrame, path: str, parts: int = 8) -> None:
     """Postings spread by token, sorted, so that a query's tokens prune by their statistics."""
     postings.repartition(parts, "token").sortWithinPartitions("token").write.mode("overwrite").parquet(path)

@@ -21,7 +21,7 @@ def one(spark, fn, *values):
 @pytest.mark.parametrize(
     ("fn", "value", "want"),
     [
-        (t.normalize, "合 同  第 3 条  a  b", "合同第3条 a b"), (t.heading_rank, "第三章 总则", 1), (t.heading_rank, "第三节 总则", 2), (t.heading_rank, "（二）责任", 4), (t.heading_rank, "1.2 范围说明", 2), (t.heading_rank, "3、保险责任", 5), (t.heading_rank, "(3) 保险责任", 6), (t.heading_rank, "3、保险责任，如下。", None), (t.heading_rank, "text", None), (t.article_no, "第十二条 保险责任", "第十二条"), (t.article_no, "2.3.1 Scope", ""), (t.article_no, "第二〇条 责任", "第二〇条"), (t.han_number, "二百零五", 205), (t.han_number, "百", 100), (t.han_number, "两", 2), (t.han_number, "零", None), (t.roman_grades, "因素II与X线", "因素Ⅱ与X线"), (t.normalize, "《 保险 》　第 一 条\n （ x）", "《保险》第一条\n （x）"),
+        (t.normalize, "合 同  第 3 条  a  b", "合同第3条 a b"), (t.heading_rank, "第三章 总则", 1), (t.heading_rank, "第三节 总则", 2), (t.heading_rank, "（二）责任", 4), (t.heading_rank, "1.2 范围说明", 2), (t.heading_rank, "3、保险责任", 5), (t.heading_rank, "(3) 保险责任", 6), (t.heading_rank, "3、保险责任，如下。", None), (t.heading_rank, "text", None), (t.article_no, "第十二条 保险责任", "第十二条"), (t.article_no, "2.3.1 Scope", ""), (t.article_no, "第二〇条 责任", "第二〇条"), (t.han_number, "二百零五", 205), (t.han_number, "百", 100), (t.han_number, "两", 2), (t.han_number, "零", None), (t.roman_grades, "因素II与X线", "因素Ⅱ与X线"), (t.normalize, "《 保险 》　第 一 条\n （ x）", "《保险》第一条\n （ x）"),
         (t.strip_latex, "a \\textbf{b \\emph{c}} $d^{2}$", "a b c d2"), (t.strip_fences, "```md\nx\n```", "x"), (t.strip_html, "<p>a</p><p>b</p>", "a\nb"), (t.evaluation_form, "a \t b\r\n\n\n\nc ", "a b\n\nc"), (t.caption_like, "表一：营业收入", True), (t.caption_like, "12 元", False),
         (t.han_number, "三百二十五", 325), (t.han_number, "十二", 12), (t.han_number, "x", None), (t.flatten_scripts, "m²H₂O", "m2H2O"), (t.roman_grades, "II级", "Ⅱ级"), (t.flatten_math, "\\frac{a}{b} \\times c", "a/b × c"), (t.fix_multi_dots, "1.234.56", "1,234.56"), (t.fix_multi_dots, "1.2.3", "1.2.3"),
         (t.looks_like_error, '{"error": 1}', True), (t.truncated, "<table><tr>", True), (t.pseudo_heading, "说明。", True), (t.chapter_title, "第一章 总则", True), (t.nfkc, "Ａ①", "A1"), (t.collapse_repeats, "a\n\na\nb", "a\n\nb"), (t.drop_adjacent, "a\n\na\nb\na", "a\n\nb\na"), (t.html_text, "<head>x</head><p>a</p>", "a"),
