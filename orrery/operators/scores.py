@@ -33,24 +33,24 @@ def weighted_f1(df: DataFrame, pred: str, truth: str) -> DataFrame:
     return t.join(p, "label", "left").agg(F.round(F.sum(f1 * F.col("support")) / F.sum("support"), 6).alias("weighted_f1"), F.sum("support").alias("n"))
 
 
-def wasserstein(df: DataFrame, by: list[str], side: str, value: str, a: str, b: str, points: int = 100) -> DataFrame:
-    """1-D Wasserstein distance of two samples per group: mean distance of their sorted values at `points` + 1 even ranks, found by row numbers, never collected."""
-    w = W.partitionBy(*by, side)
-    r = df.select(*by, side, value).withColumn("r", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    ranks = r.select(*by, side, "n").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points)))).withColumn("r", F.floor(F.col("i") * (F.col("n") - 1) / F.lit(float(points))).cast("int"))
-    v = ranks.join(r.select(*by, side, "r", value), [*by, side, "r"])
-    return v.groupBy(*by, "i").agg(F.max(F.when(F.col(side) == a, F.col(value))).alias("x"), F.max(F.when(F.col(side) == b, F.col(value))).alias("y")).where("x is not null and y is not null").groupBy(*by).agg(F.round(F.avg(F.abs(F.col("x") - F.col("y"))), 6).alias("wasserstein"))
+def wasserstein(df: DataFrame, by: list[str], side: str, value: str, a: str, b: str, parts: int = 64) -> DataFrame:
+    """1-D Wasserstein distance of two samples per group over all their values: the integral of |F_a - F_b|; groups without one of the samples are left out.
 
-
-def wasserstein_exact(df: DataFrame, by: list[str], side: str, value: str, a: str, b: str) -> DataFrame:
-    """1-D Wasserstein distance of two samples per group over all their values: the integral of |F_a - F_b|, from counts per distinct value; groups without one of the samples are left out."""
+    Counts per distinct value are summed up within `parts` ranges of about equal weight, what the ranges before hold is added from one row a range: a hot group is
+    spread over its ranges. The ranges' bounds are approximate, the result is exact.
+    """
     n = lambda x: F.count_if(F.col(side) == x)
     c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n(a).alias("na"), n(b).alias("nb")).where("na + nb > 0")
-    w, all_ = W.partitionBy(*by).orderBy(value), W.partitionBy(*by)
-    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    x = c.select(*by, F.sum("na").over(upto).alias("ca"), F.sum("nb").over(upto).alias("cb"), F.sum("na").over(all_).alias("ta"), F.sum("nb").over(all_).alias("tb"), (F.lead(value).over(w) - F.col(value)).alias("gap"))
-    x = x.where("ta > 0 and tb > 0")
-    return x.groupBy(*by).agg(F.round(F.sum(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb")) * F.coalesce("gap", F.lit(0.0))), 6).alias("wasserstein"))
+    cuts = c.groupBy(*by).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 1000).alias("_cuts"))
+    x = c.join(cuts, by).withColumn("_k", F.size(F.filter("_cuts", lambda q: q < F.col(value)))).drop("_cuts")
+    r = x.groupBy(*by, "_k").agg(F.sum("na").alias("_a"), F.sum("nb").alias("_b"), F.min(value).alias("_low"))
+    o, all_ = W.partitionBy(*by).orderBy("_k"), W.partitionBy(*by)
+    r = r.select(*by, "_k", (F.sum("_a").over(o) - F.col("_a")).alias("_a0"), (F.sum("_b").over(o) - F.col("_b")).alias("_b0"), F.lead("_low").over(o).alias("_next"), F.sum("_a").over(all_).alias("ta"), F.sum("_b").over(all_).alias("tb"))  # `parts` rows a group
+    w = W.partitionBy(*by, "_k").orderBy(value)
+    x = x.join(r, [*by, "_k"]).where("ta > 0 and tb > 0")
+    gap = F.coalesce(F.lead(value).over(w), "_next") - F.col(value)
+    x = x.select(*by, ((F.sum("na").over(w) + F.col("_a0")) / F.col("ta")).alias("fa"), ((F.sum("nb").over(w) + F.col("_b0")) / F.col("tb")).alias("fb"), gap.alias("gap"))
+    return x.groupBy(*by).agg(F.round(F.sum(F.abs(F.col("fa") - F.col("fb")) * F.coalesce("gap", F.lit(0.0))), 6).alias("wasserstein"))
 
 
 def composite(pairs: DataFrame) -> DataFrame:
@@ -96,13 +96,35 @@ def dtw(df: DataFrame, key: str, order: str, value: str, band: int = 12) -> Data
     return pairs.select(key, "day", F.round(dist("before", "s"), 6).alias("dtw"))
 
 
-def patterns(features: DataFrame, k: int = 4) -> DataFrame:
-    """K-means patterns over window features, with size and mean features of each."""
+PATTERN_COLUMNS = ["ap_active_buy_pct", "ap_unilateral_intensity", "order_count", "deal_count"]
+
+
+def clustered(features: DataFrame, k: int = 4) -> DataFrame:
+    """Window features with their pattern by k-means over the scaled features (`x`)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
-    cols = ["ap_active_buy_pct", "ap_unilateral_intensity", "order_count", "deal_count"]
-    f = VectorAssembler(inputCols=cols, outputCol="raw").transform(features.select(*cols).fillna(0))
+    f = VectorAssembler(inputCols=PATTERN_COLUMNS, outputCol="raw").transform(features.select(*PATTERN_COLUMNS).fillna(0))
     f = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(f).transform(f)
     m = KMeans(k=k, seed=1, maxIter=10).fit(f)
-    return m.transform(f).groupBy(F.col("prediction").alias("pattern")).agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in cols])
+    return m.transform(f).select(*PATTERN_COLUMNS, F.col("prediction").alias("pattern"), vector_to_array("features").alias("x"))
+
+
+def patterns(features: DataFrame, k: int = 4) -> DataFrame:
+    """K-means patterns over window features, with size and mean features of each."""
+    return clustered(features, k).groupBy("pattern").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in PATTERN_COLUMNS])
+
+
+def separation(df: DataFrame, pattern: str = "pattern", x: str = "x") -> DataFrame:
+    """(n, within, between, score): mean distance of the rows to their pattern's centre, weighted mean distance of the centres to the centre of all, and between / (between +
+    within): near 1 where patterns are close in themselves and far from each other. Null if there are no rows."""
+    long = df.select(F.monotonically_increasing_id().alias("_i"), pattern, F.posexplode(x).alias("d", "v"))
+    centre = long.groupBy(pattern, "d").agg(F.avg("v").alias("m"), F.count("*").alias("n"))
+    total = centre.groupBy("d").agg((F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("t"))
+    within = df.join(centre.groupBy(pattern).agg(F.map_from_entries(F.collect_list(F.struct("d", "m"))).alias("c")), pattern)  # one row a pattern
+    dist = F.sqrt(F.aggregate(F.transform(x, lambda v, i: F.pow(v - F.element_at("c", i), 2.0)), F.lit(0.0), lambda s, v: s + v))
+    w = within.agg(F.count("*").alias("n"), F.avg(dist).alias("within"))
+    b = centre.join(total, "d").groupBy(pattern).agg(F.sqrt(F.sum(F.pow(F.col("m") - F.col("t"), 2.0))).alias("far"), F.max("n").alias("k")).agg((F.sum(F.col("far") * F.col("k")) / F.sum("k")).alias("between"))
+    r = w.join(F.broadcast(b), F.lit(True))  # single rows
+    return r.select("n", F.round("within", 6).alias("within"), F.round("between", 6).alias("between"), F.round(F.when(F.col("within") + F.col("between") > 0, F.col("between") / (F.col("between") + F.col("within"))), 6).alias("score"))

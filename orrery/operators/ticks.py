@@ -42,9 +42,28 @@ def total(col: str, cond: str):
     return F.coalesce(F.sum(F.expr(f"case when {cond} then {col} end")), F.lit(0.0))
 
 
+def carried(df: DataFrame, by: list[str], bucket: str, order: list[str], value, out: str, own: bool = False) -> DataFrame:
+    """`df` with the last non-null `value` of the rows before (with `own` also the row's) of its keys, in order.
+
+    Rows are looked at within buckets of time (`bucket`, rising with the order); what earlier buckets end with is carried over one row a bucket, so a hot key is spread
+    over its buckets.
+    """
+    w = W.partitionBy(*by, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if own else -1)
+    ends = df.select(*by, bucket, *order, value.alias("_v")).groupBy(*by, bucket).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_end"))
+    before = F.last("_end", ignorenulls=True).over(W.partitionBy(*by).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1))
+    carry = ends.select(*[F.col(c).alias("_k" + c) for c in by], F.col(bucket).alias("_b"), before.alias("_carry"))
+    x = df.withColumn("_v", value).withColumn(out, F.last("_v", ignorenulls=True).over(w))
+    on = F.col(bucket) == F.col("_b")
+    for c in by:
+        on = on & (F.col(c) == F.col("_k" + c))
+    return x.join(carry, on, "left").withColumn(out, F.coalesce(out, "_carry")).drop("_v", "_b", "_carry", *["_k" + c for c in by])
+
+
 def core(t: DataFrame) -> DataFrame:
-    """Counts and amounts of a window; total_deal_amount_all is the day's."""
+    """Counts and amounts of a window and its exact bounds; total_deal_amount_all is the day's."""
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     g = t.groupBy(*KEY).agg(
+        F.first(stamp("window_start")).alias("window_start_dt"), F.first(stamp("window_end")).alias("window_end_dt"),
         n("act='order'").alias("order_count"), n("act in ('order','cancel')").alias("order_count_all"), n("act='cancel'").alias("cancel_count_all"), n("act='trade'").alias("deal_count"),
         total("amt", "act='trade'").alias("deal_amount"), total("amt", "act='trade' and side='buy'").alias("signal_deal_buy_amount"), total("amt", "act='trade' and side='sell'").alias("signal_deal_sell_amount"),
     )
@@ -94,9 +113,8 @@ def rhythm(t: DataFrame) -> DataFrame:
 
 def cancels(t: DataFrame) -> DataFrame:
     """Cancel behaviour; a fast cancel follows the last order of its symbol and side within 30 minutes (as-of)."""
-    w = W.partitionBy("symbol", "side").orderBy("ts", "id").rowsBetween(W.unboundedPreceding, -1)
     us = F.expr("unix_micros(cast(ts as timestamp))")
-    x = t.withColumn("us", us).withColumn("last_order", F.last(F.expr("case when act='order' then us end"), ignorenulls=True).over(w))
+    x = carried(t.withColumn("us", us), ["symbol", "side"], "window_start", ["ts", "id"], F.expr("case when act='order' then us end"), "last_order")
     x = x.withColumn("gap", F.expr("case when act='cancel' then us end") - F.lag("us").over(W.partitionBy(*KEY, "act").orderBy("ts", "id")))
     return x.groupBy(*KEY).agg(
         n("act='cancel'").alias("cb_cancel_order_count"), r6(ratio(n("act='cancel'"), n("act='order'"))).alias("cb_cancel_order_ratio"),
@@ -122,10 +140,9 @@ def active(t: DataFrame) -> DataFrame:
 
 
 def quoted(t: DataFrame) -> DataFrame:
-    """Ticks with the quote in force: the last buy order's price -+ 1 of the symbol, an as-of join by a window (no theta join)."""
-    w = W.partitionBy("symbol").orderBy("ts", "id").rowsBetween(W.unboundedPreceding, -1)
-    mid = F.last(F.expr("case when act='order' and side='buy' then price end"), ignorenulls=True).over(w)
-    return t.withColumn("bid", mid - 1).withColumn("ask", mid + 1)
+    """Ticks with the quote in force: the last buy order's price -+ 1 of the symbol, an as-of join by windows (no theta join)."""
+    x = carried(t, ["symbol"], "window_start", ["ts", "id"], F.expr("case when act='order' and side='buy' then price end"), "mid")
+    return x.withColumn("bid", F.col("mid") - 1).withColumn("ask", F.col("mid") + 1).drop("mid")
 
 
 def quotes(t: DataFrame) -> DataFrame:
@@ -184,10 +201,12 @@ def impact(t: DataFrame) -> DataFrame:
     return x.join(h5.drop("peak_pi_herfindahl_5min"), KEY).join(h30.withColumnRenamed("peak_pi_herfindahl_30min", "pi_peak_amount_ratio"), KEY)
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, value: str) -> DataFrame:
-    """Each left row with the last `value` of right at or before it: union and last value, one shuffle by the keys."""
-    a = left.withColumn("_r", F.lit(1)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType))
-    b = right.select(*by, on, F.col(value).alias("_v")).withColumn("_r", F.lit(0))
-    w = W.partitionBy(*by).orderBy(on, "_r").rowsBetween(W.unboundedPreceding, 0)
-    u = a.unionByName(b, allowMissingColumns=True).withColumn(value, F.last("_v", ignorenulls=True).over(w))
-    return u.where("_r = 1").drop("_r", "_v")
+def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, value: str, bucket=None) -> DataFrame:
+    """Each left row with the last `value` of right at or before it: union and last value, one shuffle by the keys.
+
+    `bucket` (a column rising with `on`, such as its day) spreads a hot key over its buckets.
+    """
+    a = left.withColumn("_r", F.lit(1)).withColumn("_q", F.lit(None).cast(right.schema[value].dataType))
+    b = right.select(*by, on, F.col(value).alias("_q")).withColumn("_r", F.lit(0))
+    u = a.unionByName(b, allowMissingColumns=True).withColumn("_t", F.lit(0) if bucket is None else bucket)
+    return carried(u, by, "_t", [on, "_r"], F.col("_q"), value, own=True).where("_r = 1").drop("_r", "_q", "_t")

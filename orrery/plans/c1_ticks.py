@@ -46,7 +46,7 @@ ORACLE = {
     "c1_window_core": TICKS
     + f""", g as (select {K}, count(*) filter (act='order') as order_count, count(*) filter (act in ('order','cancel')) as order_count_all, count(*) filter (act='cancel') as cancel_count_all,
   count(*) filter (act='trade') as deal_count, {SUM(v='amt', c="act='trade'")} as a, {SUM(v='amt', c="act='trade' and side='buy'")} as b, {SUM(v='amt', c="act='trade' and side='sell'")} as s from t group by all)
-select {K}, order_count, order_count_all, cancel_count_all, deal_count, round(a, 6) as deal_amount, round(b, 6) as signal_deal_buy_amount, round(s, 6) as signal_deal_sell_amount,
+select {K}, strftime(window_start, '%Y-%m-%d %H:%M:%S') as window_start_dt, strftime(window_end, '%Y-%m-%d %H:%M:%S') as window_end_dt, order_count, order_count_all, cancel_count_all, deal_count, round(a, 6) as deal_amount, round(b, 6) as signal_deal_buy_amount, round(s, 6) as signal_deal_sell_amount,
   round(sum(a) over (partition by date, symbol), 6) as total_deal_amount_all from g""",
     "c1_order_size": TICKS
     + f""", d as (select *, epoch_us(ts) - lag(epoch_us(ts)) over (partition by date, symbol order by ts, id) as gap from t where act='trade'),
@@ -144,7 +144,6 @@ QUERIES |= {
     "c1_weighted_f1": lambda s, d: scores.weighted_f1(label_pairs(s, d), "pred", "truth"),
     "c1_f1_by_label": lambda s, d: scores.f1_by_label(label_pairs(s, d), "pred", "truth"),
     "c1_wasserstein": lambda s, d: scores.wasserstein(two_samples(s, d), ["symbol"], "g", "v", "order", "trade"),
-    "c1_wasserstein_exact": lambda s, d: scores.wasserstein_exact(two_samples(s, d), ["symbol"], "g", "v", "order", "trade"),
     "c1_composite_score": lambda s, d: scores.composite(label_pairs(s, d)),
     "c1_moving_score": lambda s, d: scores.moving(label_pairs(s, d), table(s, d, "events")),
     "c1_eligible": lambda s, d: scores.eligible(label_pairs(s, d)),
@@ -152,19 +151,15 @@ QUERIES |= {
     "c1_output_capital": lambda s, d: daily(s, d).select(F.col("symbol").alias("stock_code"), F.col("date").alias("transaction_date"), F.split("label", "_")[0].alias("capital_type"), F.split("label", "_")[1].alias("capital_intention")),
     "c1_dtw": lambda s, d: scores.dtw(ticks.core(t(s, d)).select("symbol", "window_start", F.col("deal_amount").alias("v")), "symbol", "window_start", "v"),
     "c1_kmeans_patterns": lambda s, d: scores.patterns(ticks.active(t(s, d)).join(ticks.core(t(s, d)), ticks.KEY)),
-    "c1_asof_quote": lambda s, d: ticks.asof(t(s, d).where("act='trade'").select("symbol", "ts", "id", "price"), t(s, d).where("act='order'").groupBy("symbol", "ts").agg(F.max("price").alias("quote")), ["symbol"], "ts", "quote"),
+    "c1_asof_quote": lambda s, d: ticks.asof(t(s, d).where("act='trade'").select("symbol", "ts", "id", "price"), t(s, d).where("act='order'").groupBy("symbol", "ts").agg(F.max("price").alias("quote")), ["symbol"], "ts", "quote", F.to_date("ts")),
+    "c1_pattern_separation": lambda s, d: scores.separation(scores.clustered(ticks.active(t(s, d)).join(ticks.core(t(s, d)), ticks.KEY))),
+    "c1_label_separation": lambda s, d: scores.separation(t(s, d).where("price is not null and qty is not null").select(F.concat_ws("_", "act", "side").alias("pattern"), F.array("price", F.col("qty").cast("double")).alias("x"))),
 }
 ORACLE |= {
     "c1_daily_dominant": DAILY + " select * from dm",
     "c1_weighted_f1": PAIRS + F1 + " select round(sum(f1 * support) / sum(support), 6) as weighted_f1, sum(support)::bigint as n from f",
     "c1_f1_by_label": PAIRS + F1 + " select label, support, round(f1, 6) as f1 from f",
     "c1_wasserstein": TICKS
-    + """, v as (select symbol, act as g, price as v from t where side='buy' and act in ('order','trade')),
-sm as (select symbol, list(v order by v) filter (g='order') as o, list(v order by v) filter (g='trade') as d from v group by symbol),
-rk as (select symbol, o, d, unnest(range(0, 101)) as i from sm),
-e as (select symbol, o[floor(i * (len(o) - 1) / 100.0)::int + 1] as x, d[floor(i * (len(d) - 1) / 100.0)::int + 1] as y from rk where len(o) > 0 and len(d) > 0)
-select symbol, round(avg(abs(x - y)), 6) as wasserstein from e group by symbol""",
-    "c1_wasserstein_exact": TICKS
     + """, v as (select symbol, price as x, count(*) filter (act = 'order') as o, count(*) filter (act = 'trade') as d from t where side = 'buy' and act in ('order', 'trade') and price is not null group by all),
 c as (select symbol, x, sum(o) over w as co, sum(d) over w as cd, sum(o) over (partition by symbol) as no, sum(d) over (partition by symbol) as nd, lead(x) over w as nx from v window w as (partition by symbol order by x))
 select symbol, round(sum(coalesce(abs(co / no - cd / nd) * (nx - x), 0)), 6) as wasserstein from c where no > 0 and nd > 0 group by symbol""",
@@ -176,5 +171,7 @@ select symbol, date, round((3 * s + 2 * coalesce(lag(s) over w, 0) + coalesce(la
     "c1_eligible": PAIRS + " select symbol, count(distinct date) as n_days from pr group by symbol having count(distinct date) >= 8",
     "c1_output_pattern": DAILY + " select symbol as stock_code, date as transaction_date, label as pattern_type, confidence::varchar as pattern_explanation from dm",
     "c1_output_capital": DAILY + " select symbol as stock_code, date as transaction_date, split_part(label, '_', 1) as capital_type, split_part(label, '_', 2) as capital_intention from dm",
+    "c1_label_separation": TICKS + """, x as (select act || '_' || side as p, price as a, qty::double as b from t where price is not null and qty is not null), c as (select p, avg(a) as ma, avg(b) as mb, count(*) as n from x group by p), z as (select sum(ma * n) / sum(n) as ta, sum(mb * n) / sum(n) as tb from c),
+w as (select count(*) as n, avg(sqrt((a - ma) ** 2 + (b - mb) ** 2)) as w from x join c using (p)), bt as (select sum(sqrt((ma - ta) ** 2 + (mb - tb) ** 2) * n) / sum(n) as b from c, z) select w.n as n, round(w, 6) as within, round(b, 6) as between_, round(b / (b + w), 6) as score from w, bt""".replace(" as between_", ' as "between"'),
     "c1_asof_quote": TICKS + ", q as (select symbol, ts, max(price) as quote from t where act='order' group by all) select a.symbol, a.ts, a.id, a.price, q.quote from (select * from t where act='trade') a asof left join q on a.symbol = q.symbol and a.ts >= q.ts",
 }
