@@ -60,9 +60,10 @@ def graded(df: DataFrame, by: str, pred: str, gold: str, flag: str) -> DataFrame
     return x.rollup(by).agg(F.count("*").alias("n"), F.sum("ok").alias("right"), F.round(F.avg("ok"), 4).alias("accuracy"), F.count_if(high).alias("high_n"), F.round(F.avg(F.when(high, F.col("ok"))), 4).alias("high_accuracy"))
 
 
-def token_factor(tokens: Column, budget: float) -> Column:
-    """0.7 + 0.3 * (budget - tokens) / budget, the share clamped to 0..1."""
-    return F.lit(0.7) + F.lit(0.3) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(budget) - tokens) / F.lit(budget)))
+def token_factor(tokens: Column, budget: float, clamped: bool = True) -> Column:
+    """0.7 + 0.3 * (budget - tokens) / budget, the share clamped to 0..1 unless told otherwise."""
+    share = (F.lit(budget) - tokens) / F.lit(budget)
+    return F.lit(0.7) + F.lit(0.3) * (F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) if clamped else share)
 
 
 def edit_loss(pred: Column, gold: Column) -> Column:

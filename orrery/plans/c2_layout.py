@@ -65,7 +65,6 @@ QUERIES = {
     "wn_gap_centres": lambda s, d: q.gap_centres(profile(s, d), ["img"], "x", "v", 0.46),
     "wn_row_profile": rows,
     "wn_boundaries": lambda s, d: q.longest_runs(pixels(s, d).where("ink = 1"), ["img"], "x", "y", 5).groupBy("img").agg(F.collect_list("centre").alias("c")).select("img", F.array_join(F.transform(q.boundaries(F.col("c"), F.lit(64)), lambda x: x.cast("int").cast("string")), ",").alias("bounds")),
-    "wn_group_boundaries": lambda s, d: q.longest_runs(pixels(s, d).where("ink = 1"), ["img"], "x", "y", 5).groupBy("img").agg(F.collect_list("centre").alias("c")).select("img", F.array_join(F.transform(q.group_boundaries(q.boundaries(F.col("c"), F.lit(64)), 12.0), lambda x: (x * 2).cast("int").cast("string")), ",").alias("bounds")),
     "wn_even_chunks": lambda s, d: table(s, d, "orders").groupBy("o_custkey").count().select("o_custkey", F.explode(q.even_chunks(F.col("count"), 4)).alias("b")).select("o_custkey", "b.start", "b.size"),
     "wn_nearest_gap": lambda s, d: q.nearest_gap(profile(s, d).withColumn("v", F.floor(F.col("v") * 2.2)), cuts(s, d).withColumnRenamed("cut", "target"), ["img"], "x", "v", 8),
     "wn_snap": lambda s, d: q.snap(pixels(s, d).groupBy("img", "x").agg(F.sum("ink").alias("v")), cuts(s, d), ["img"], "x", "v", 6),

@@ -53,7 +53,7 @@ QUERIES = {
     "ex_weakest_slices": lambda s, d: x.weakest_slices(log(s, d)),
     "ex_trajectory": lambda s, d: x.trajectory(log(s, d)).select("id", F.get_json_object("record", "$.status").alias("status"), F.get_json_object("record", "$.id").cast("int").alias("again")),
     "ex_graded_rollup": lambda s, d: x.graded(answers(s, d), "domain", "pred", "gold", "confidence"),
-    "ex_token_factor": lambda s, d: answers(s, d).select("qid", F.round(x.token_factor(F.col("tokens"), 3000.0), 6).alias("factor")),
+    "ex_token_factor": lambda s, d: answers(s, d).select("qid", F.round(x.token_factor(F.col("tokens"), 3000.0), 6).alias("factor"), F.round(x.token_factor(F.col("tokens"), 3000.0, False), 6).alias("unclamped")),
     "ex_token_totals": lambda s, d: answers(s, d).withColumn("running", F.sum("tokens").over(W.partitionBy("domain").orderBy("qid"))).select("qid", "domain", "running"),
     "ex_edit_loss": lambda s, d: pairs(s, d).select("p_partkey", F.round(x.edit_loss(F.col("pred"), F.col("gold")), 6).alias("loss")),
     "ex_order_loss": lambda s, d: pairs(s, d).select("p_partkey", F.round(x.order_loss(F.col("pred"), F.col("gold")), 6).alias("loss")),
@@ -102,7 +102,7 @@ ORACLE = {
     "ex_trajectory": T + " select id, status, id as again from t",
     "ex_graded_rollup": A
     + ", f as (select *, (pred = gold)::int as ok from an where confidence != 'defective') select domain, count(*) as n, sum(ok)::bigint as right, round(avg(ok), 4) as accuracy, count(*) filter (confidence = 'high') as high_n, round(avg(ok) filter (confidence = 'high'), 4) as high_accuracy from f group by rollup (domain)".replace(" as right", ' as "right"'),
-    "ex_token_factor": A + " select qid, round(0.7 + 0.3 * greatest(0.0, least(1.0, (3000.0 - tokens) / 3000.0)), 6) as factor from an",
+    "ex_token_factor": A + " select qid, round(0.7 + 0.3 * greatest(0.0, least(1.0, (3000.0 - tokens) / 3000.0)), 6) as factor, round(0.7 + 0.3 * (3000.0 - tokens) / 3000.0, 6) as unclamped from an",
     "ex_token_totals": A + " select qid, domain, sum(tokens) over (partition by domain order by qid)::bigint as running from an",
     "ex_edit_loss": P + " select p_partkey, round(el, 6) as loss from l",
     "ex_order_loss": P + " select p_partkey, round(ol, 6) as loss from l",

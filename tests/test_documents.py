@@ -142,3 +142,23 @@ def test_parsed_pages_and_csv(spark, tmp_path):
     assert {x["uid"]: x["seq"] for x in got["train"].collect()} == {"u1": ["a", "b", "c"], "u2": []} and got["item"].count() == 1
     (tmp_path / "x.html").write_text("<nav>menu</nav><main><p>body</p></main><footer>foot</footer>")
     assert [x["text"] for x in files.html_pages(spark, str(tmp_path / "x.html")).collect()] == ["body"]
+
+
+def test_pixels(spark):
+    from orrery.operators import pixels as p
+
+    rules = [("a", y, x) for x in (3, 4, 20, 40) for y in range(5, 45)] + [("a", 10, 30), ("b", 1, 1)]
+    d = spark.createDataFrame(rules, "img string, y int, x int")
+    assert [tuple(r) for r in p.table_bands(d, 50, 20, 0.9, 10).collect()] == [("a", 5, 44, 3)] and p.table_bands(d.limit(0), 50).count() == 0
+    assert {(r["img"], r["n"]) for r in p.rule_count(d.where("y = 10"), ["img"], "x").collect()} == {("a", 4)}
+    assert {(r["img"], r["x"]) for r in p.text_ink(d, 50).collect()} == {("a", 30), ("b", 1)}
+    broken = d.where("y not between 20 and 24")
+    assert [tuple(r) for r in p.rule_breaks(broken, 50, 10).collect()] == [("a", 20)]
+    ink = [1.0] * 100
+    ink[38] = ink[61] = 0.0
+    assert p.slice_cuts(ink, [], 40, 5, 10) == [0, 38, 78, 100] and p.slice_cuts(ink, [(30, 45)], 40, 5, 10)[1] < 30 and p.slice_cuts([1.0] * 5, []) == [0, 5]
+    assert p.grouped_boundaries([0.0, 4.0, 9.0, 12.0, 50.0], 10, 5) == [0.0, 9.0, 12.0, 22.0, 32.0, 42.0, 50.0] and p.grouped_boundaries([0.0, 1.0, 2.0, 3.0], 10, 2) == [0.0, 2.0, 3.0] and p.grouped_boundaries([], 1, 1) == []
+    assert p.isolated_ink([(0, 5), (1, 6), (5, 1), (5, 2), (5, 3)], 2, 10) == (2, 4) and p.isolated_ink([], 0, 1) == (0, 0)
+    table = [(y, x) for y in range(0, 60) for x in range(0, 90)]
+    box, text = p.split_blocks(table + [(95, x) for x in range(40, 50)], 100, 100)
+    assert box == (0, 0, 90, 60) and text == [(40, 95, 50, 96)] and p.split_blocks([], 9, 9) == (None, [])
