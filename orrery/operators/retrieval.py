@@ -68,12 +68,6 @@ def index_text() -> Column:
     return F.when(F.coalesce(F.col("breadcrumb"), F.lit("")) != "", F.concat("breadcrumb", F.lit(" "), F.coalesce("text", F.lit("")))).otherwise(F.coalesce("text", F.lit("")))
 
 
-def postings(ch: DataFrame) -> DataFrame:
-    """(chunk_id, doc_id, token, tf, dl)."""
-    x = ch.select("chunk_id", "doc_id", tokens(index_text()).alias("t")).withColumn("dl", F.size("t")).select("chunk_id", "doc_id", "dl", F.explode("t").alias("token"))
-    return x.groupBy("chunk_id", "doc_id", "token").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-
-
 def raw_idf(df: Column, n: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5))
 
@@ -103,9 +97,9 @@ class Index:
 def build(df: DataFrame) -> Index:
     """The index of a chunk table, written to the shared folder: the chunk table is read once, later searches read only what they need."""
     ch = written(chunks(df), "doc_id")
-    x = ch.select("chunk_id", "doc_id", tokens(index_text()).alias("t"))
+    x = ch.repartition("chunk_id").select("chunk_id", "doc_id", tokens(index_text()).alias("t"))  # so that a chunk's tokens are counted where they are made
     x = x.select("chunk_id", "doc_id", F.size("t").alias("dl"), F.explode_outer("t").alias("token"))
-    post = written(x.groupBy("chunk_id", "doc_id", "token").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")), "token")  # a chunk without tokens keeps a row
+    post = written(x.groupBy("chunk_id", "doc_id", "token").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")))  # a chunk without tokens keeps a row
     sizes = post.groupBy("chunk_id", "doc_id").agg(F.max("dl").alias("dl"))
     post = post.where("token is not null")
     total = written(sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
@@ -118,13 +112,6 @@ def build(df: DataFrame) -> Index:
     return Index(ch, sizes, post, terms, total, doc_terms, written(docs.join(means, "doc_id", "left")))
 
 
-def stats(post: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(token, df, idf) of a collection from its postings and chunk sizes."""
-    total = sizes.agg(F.count("*").alias("n"))
-    x = post.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(total), F.lit(True)).withColumn("raw", raw_idf(F.col("df"), F.col("n")))  # one row
-    return x.join(F.broadcast(x.agg(F.avg("raw").alias("mean"))), F.lit(True)).select("token", "df", floored(F.col("raw"), F.col("mean")).alias("idf"))  # one row
-
-
 def queries(df: DataFrame, key: str, text: str) -> DataFrame:
     """(qid, token): distinct tokens of each query."""
     return df.where(F.col(key).isNotNull()).select(F.col(key).alias("qid"), F.explode(F.array_distinct(tokens(text))).alias("token")).distinct()
