@@ -156,7 +156,7 @@ def test_pixels(spark):
     assert [tuple(r) for r in p.rule_breaks(broken, 50, 10).orderBy("y").collect()] == [("a", 20), ("a", 45)]
     ink = [1.0] * 100
     ink[38] = ink[61] = 0.0
-    assert p.slice_cuts(ink, [], 40, 5, 10) == [0, 38, 78, 100] and p.slice_cuts(ink, [(30, 45)], 40, 5, 10)[1] < 30 and p.slice_cuts([1.0] * 5, []) == [0, 5]
+    assert p.slice_cuts(ink, [], 40, 5, 10) == [0, 38, 73, 100] and p.slice_cuts(ink, [(30, 45)], 40, 5, 10)[1] < 30 and p.slice_cuts([1.0] * 5, []) == [0, 5]
     assert p.grouped_boundaries([0.0, 4.0, 9.0, 12.0, 50.0], 10, 5) == [0.0, 9.0, 12.0, 22.0, 32.0, 42.0, 50.0] and p.grouped_boundaries([0.0, 1.0, 2.0, 3.0], 10, 2) == [0.0, 2.0, 3.0] and p.grouped_boundaries([], 1, 1) == []
     assert p.isolated_ink([(0, 5), (1, 6), (5, 1), (5, 2), (5, 3)], 2, 10) == (2, 4) and p.isolated_ink([], 0, 1) == (0, 0)
     table = [(y, x) for y in range(0, 60) for x in range(0, 90)]
