@@ -3,8 +3,8 @@
 A transducer over grapheme clusters is compiled once from rules over Unicode's own data and handed to the workers. A cluster is decomposed, its characters are mapped,
 and it is composed again, so a composed and a decomposed spelling have one form: compatibility forms of width, ligature, radical and font become plain characters; all
 kinds of space become the plain space; invisible characters vanish; letters of another script drawn like a Latin letter become Latin. Which letters those are is taken
-from Unicode's confusables, as Spark's own Unicode library holds them, and from a short list that must hold without it. Raised, lowered and circled characters, case,
-true accents and traditional characters stay, as they make another reading.
+from Unicode's confusables, as Spark's own Unicode library holds them, and from a short list that must hold whatever they say; confusables that cannot be read are an
+error, as the short list alone would miss letters. Raised, lowered and circled characters, case, true accents and traditional characters stay, as they make another reading.
 
 Compiling gives a table of all code points and a dictionary of the clusters that have a composed character; a cluster the dictionary lacks is made by the same rule and
 kept. `check_conflicts` holds that each character's form is a fixed point and that no two spellings of a character have two forms. Texts run through the table in
@@ -44,16 +44,16 @@ GONE, SLOW = 0xFFFFFFFF, 0xFFFFFFFE
 
 
 def confusables(spark: SparkSession) -> dict[int, str]:
-    """Letters of another script that Unicode's confusables take for one Latin letter of their case."""
+    """Letters of another script that Unicode's confusables take for one Latin letter of their case; an error where they cannot be read."""
     letters = [c for c in EVERY if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lo") and unicodedata.name(chr(c), "").split(" ")[0] in OTHER_SCRIPTS and not unicodedata.decomposition(chr(c))]
     plain = [c for c in range(0x41, 0x7B) if chr(c).isalpha()]
     try:
         checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
         bones = checker.getSkeleton(0, "\n".join(chr(c) for c in plain + letters)).split("\n")
-    except Exception:  # a Spark without the library: the short list holds
-        return {}
+    except Exception as e:  # py4j has another type for each way of missing the library
+        raise RuntimeError("Unicode's confusables cannot be read from Spark's own library (com.ibm.icu)") from e
     if len(bones) != len(plain) + len(letters):
-        return {}
+        raise RuntimeError(f"Unicode's confusables: {len(bones)} skeletons of {len(plain) + len(letters)} letters")
     of: dict[str, list[int]] = {}
     for c, bone in zip(plain, bones, strict=False):
         of.setdefault(bone, []).append(c)
@@ -62,6 +62,8 @@ def confusables(spark: SparkSession) -> dict[int, str]:
         same = [x for x in of.get(bone, ()) if chr(x).isupper() == chr(c).isupper()]
         if len(same) == 1:
             out[c] = chr(same[0])
+    if not out:
+        raise RuntimeError(f"Unicode's confusables: none of {len(letters)} letters is drawn like a Latin one")
     return out
 
 

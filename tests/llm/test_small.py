@@ -2,6 +2,7 @@
 
 import random
 import unicodedata
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -302,6 +303,33 @@ def test_confusables_of_other_scripts(spark):
         assert t.form(a) != t.form(b)
 
 
+def test_confusables_that_cannot_be_read_are_an_error(spark, monkeypatch):
+    jvm, sc = spark._jvm, spark.sparkContext
+    data = [("t", "a", "\u13aannual report"), ("t", "b", "Annual report")]
+    monkeypatch.setattr(p6_forms, "items", lambda *_: spark.createDataFrame(data, "item_table string, id string, text string"))
+    monkeypatch.setattr(sc, "_orrery_forms", None, raising=False)
+
+    class Jvm:
+        def __init__(self, com):
+            self.com = com
+
+        def __getattr__(self, name):
+            return getattr(jvm, name)
+
+    def answering(skeleton):
+        checker = SimpleNamespace(getSkeleton=lambda _, text: skeleton(text))
+        return SimpleNamespace(ibm=SimpleNamespace(icu=SimpleNamespace(text=SimpleNamespace(SpoofChecker=SimpleNamespace(Builder=lambda: SimpleNamespace(build=lambda: checker))))))
+
+    # no library; a line lost; nothing mapped
+    for com in (jvm.com.ibm, answering(lambda x: x.rpartition("\n")[0]), answering(lambda x: x)):
+        with monkeypatch.context() as m:
+            m.setattr(spark, "_jvm", Jvm(com))
+            with pytest.raises(RuntimeError, match="confusables"):
+                p6_forms.p6_found(spark, "")
+        assert sc._orrery_forms is None
+    assert rows(p6_forms.p6_found(spark, "")) == [("t", "a", "b")]
+
+
 def test_pairs_of_composed_and_decomposed(spark, monkeypatch):
     text = "Ёжик в тумане идёт домой"
     data = [("t", "a", unicodedata.normalize("NFC", text)), ("t", "b", unicodedata.normalize("NFD", text)), ("t", "c", text.upper())]
