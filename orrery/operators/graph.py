@@ -6,11 +6,12 @@ unknown) and a split (train or test). Empty denominators give null.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.session import cut_lineage
+from orrery.operators.blocks import ENDS, Blocks
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -74,44 +75,26 @@ def normalised(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.join(d, "src").join(d.withColumnsRenamed({"src": "dst", "s": "t"}), "dst").select("src", "dst", (F.col("s") * F.col("t")).alias("w"))
 
 
-def propagate(adj: DataFrame, x0: DataFrame, classes: list[int], alpha: float, steps: int, clip: bool = False, every: int = 10) -> DataFrame:
-    """x <- (1 - alpha) x0 + alpha A x, `steps` times, over one row a node with a column a class (node, c0, c1, ...).
-
-    `adj` is partitioned by dst, as every step's sums are by node, so a step shuffles partial sums only; x0 enters as further summands instead of by a join. Lineage is
-    cut every few steps.
-    """
-    cols = [f"c{k}" for k in range(len(classes))]
-    start = x0.select("node", *[((1 - alpha) * F.col(c)).alias(c) for c in cols])
-    x = x0
-    for k in range(1, steps + 1):
-        part = adj.join(x.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), *[(alpha * F.col("w") * F.col(c)).alias(c) for c in cols])
-        total = lambda c: F.greatest(F.sum(c), F.lit(0.0)) if clip else F.sum(c)
-        x = part.unionByName(start).groupBy("node").agg(*[total(c).alias(c) for c in cols])
-        if k % every == 0 and k < steps:
-            x = cut_lineage(x)
-    return x
-
-
-def correct_and_smooth(edges: DataFrame, nodes: DataFrame, prior: DataFrame, a1: float = 0.8, a2: float = 0.8, n1: int = 50, n2: int = 50, scale: float = 1.0) -> DataFrame:
+def correct_and_smooth(edges: DataFrame, nodes: DataFrame, prior: DataFrame, a1: float = 0.8, a2: float = 0.8, n1: int = 50, n2: int = 50, scale: float = 1.0, ends: int = ENDS) -> DataFrame:
     """(node, label, v): residuals of the train nodes are propagated and added to the prior, train rows are reset to their labels, and the result is smoothed.
 
-    `prior` is (node, label, v) for all nodes and classes; a class missing at a node counts 0.
+    `prior` is (node, label, v) for all nodes and classes; a class missing at a node counts 0. All steps run over blocks of about `ends` edge ends (see `blocks`); nodes are whole numbers.
     """
     known = nodes.where("split = 'train' and label is not null").select("node", F.col("label").alias("own"))
     classes = sorted(r[0] for r in prior.select("label").where("label is not null").distinct().union(known.select("own").distinct()).distinct().collect())  # one row a class
     if not classes:
         return prior.select("node", "label", F.col("v").cast("double").alias("v")).limit(0)
     cols = [f"c{k}" for k in range(len(classes))]
-    adj = cut_lineage(normalised(edges, nodes).repartition("dst"))  # written once, by the key of every step's join
-    wide = prior.groupBy("node").agg(*[F.coalesce(F.sum(F.when(F.col("label") == y, F.col("v"))), F.lit(0.0)).alias(c) for c, y in zip(cols, classes, strict=True)])
-    base = cut_lineage(nodes.select("node").distinct().join(wide, "node", "left").join(known, "node", "left").select("node", "own", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in cols]))
-    hot = lambda y: (F.col("own") == y).cast("double")
-    train = F.col("own").isNotNull()
-    err = base.select("node", *[F.when(train, hot(y) - F.col(c)).otherwise(F.lit(0.0)).alias(c) for c, y in zip(cols, classes, strict=True)])
-    res = propagate(adj, err, classes, a1, n1).withColumnsRenamed({c: "r" + c for c in cols})
-    fixed = base.join(res, "node", "left").select("node", *[F.when(train, hot(y)).otherwise(F.greatest(F.lit(0.0), F.col(c) + scale * F.coalesce("r" + c, F.lit(0.0)))).alias(c) for c, y in zip(cols, classes, strict=True)])
-    x = propagate(adj, cut_lineage(fixed), classes, a2, n2, clip=True)
-    return x.select("node", F.explode(F.array(*[F.struct(F.lit(y).alias("label"), F.col(c).alias("v")) for c, y in zip(cols, classes, strict=True)])).alias("x")).select("node", "x.label", "x.v")
+    wide = prior.groupBy("node").agg(*[F.coalesce(F.sum(F.when(F.col("label") == y, F.col("v"))), F.lit(0.0)).cast("double").alias(c) for c, y in zip(cols, classes, strict=True)])
+    own = F.coalesce(*[F.when(F.col("own") == y, k) for k, y in enumerate(classes)], F.lit(-1))
+    base = nodes.select("node").distinct().join(wide, "node", "left").join(known, "node", "left").select("node", own.alias("own"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in cols])
+    g = Blocks(edges, base, len(classes), ends)
+    hot = lambda own: np.arange(len(cols))[:, None] == own
+    g.start(lambda own, p, _: np.where(own >= 0, hot(own) - p, 0.0), "residual")
+    res = g.propagate("residual", a1, n1)
+    g.start(lambda own, p, r: np.where(own >= 0, hot(own), np.maximum(0.0, p + scale * r)), "smooth", res)
+    x = g.rows(g.propagate("smooth", a2, n2, clip=True))
+    return x.select("node", F.element_at(F.array(*map(F.lit, classes)), F.col("k") + 1).alias("label"), "v")
 
 
 def backbone(features: DataFrame, columns: list[str], rounds: int = 20) -> DataFrame:
