@@ -8,7 +8,6 @@ disk by the edges once and the values twice, whatever the number of steps. Ends
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Callable
 
@@ -18,7 +17,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.session import shared_folder
+from orrery.session import released, shared_folder
 
 ENDS = 1 << 21  # edge ends of a block, about
 KINDS = {"i": np.int32, "l": np.int64, "d": np.float64}
@@ -194,21 +193,24 @@ class Blocks:
         return f"{name}-{steps}"
 
     def rows(self, last: str) -> DataFrame:
-        """(node, k, v) of the last values."""
+        """(node, k, v) of the last values; the edges are not needed any more and go."""
         folder, classes, size = self.folder, self.classes, 1 << 16
 
+        def keep(b: int) -> None:
+            _save(folder, f"values/{b}", _load(folder, f"nodes/{b}", "lld")[0], _value(folder, last, b, classes) / _load(folder, f"edges/{b}", "ldiii")[1])
+
         def read(batches):
             for batch in batches:
                 for b in batch.column(0).to_pylist():
-                    ids, x = _load(folder, f"nodes/{b}", "lld")[0], _value(folder, last, b, classes) / _load(folder, f"edges/{b}", "ldiii")[1]
+                    ids, x = _load(folder, f"values/{b}", "ld")
+                    x = x.reshape(classes, -1)
                     for i in range(0, len(ids), size):
                         v = x[:, i : i + size]
                         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + size], classes)), pa.array(np.tile(np.arange(classes, dtype=np.int32), v.shape[1])), pa.array(v.T.ravel())], ["node", "k", "v"])
 
+        self.each(keep)
+        store, path = _store(folder)
+        for x in store.get_file_info(fs.FileSelector(path)):
+            if x.base_name != "values":
+                store.delete_dir(x.path)
         return self.spark.range(0, self.n, 1, self.n).mapInArrow(read, "node bigint, k int, v double")
-
-
-def released(spark) -> None:
-    """Shuffle files of frames that are no longer held are deleted now, not when the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

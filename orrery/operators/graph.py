@@ -129,12 +129,12 @@ def predicted(x: DataFrame) -> DataFrame:
 
 def slices(pred: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(slice, n, accuracy) per class, by isolation and by a labelled neighbour; empty slices are absent."""
-    sym = symmetric(edges)
-    d = degrees(sym, nodes)
-    tr = nodes.where("split = 'train'").select(F.col("node").alias("dst"))
-    near = sym.join(tr, "dst", "left_semi").select(F.col("src").alias("node")).distinct().withColumn("near", F.lit(1))
-    x = d.where("split = 'test'").join(pred, "node").join(near, "node", "left").withColumn("ok", (F.col("pred") == F.col("label")).cast("int"))
-    s = F.array(F.concat(F.lit("class_"), "label"), F.when(F.col("degree") == 0, "isolated").otherwise("connected"), F.when(F.col("near") == 1, "has_labelled_neighbour").otherwise("no_labelled_neighbour"), F.lit("all"))
+    e = edges.where("src is not null and dst is not null")
+    ends = e.select(F.col("src").alias("node"), "dst").unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("dst")))  # repeated ends change nothing here
+    tr = nodes.where("split = 'train'").select(F.col("node").alias("dst"), F.lit(1).alias("near")).distinct()
+    near = ends.join(tr.hint("shuffle_hash"), "dst", "left").groupBy("node").agg(F.max("near").alias("near"), F.lit(1).alias("linked"))
+    x = nodes.where("split = 'test'").join(pred, "node").join(near, "node", "left").withColumn("ok", (F.col("pred") == F.col("label")).cast("int"))
+    s = F.array(F.concat(F.lit("class_"), "label"), F.when(F.col("linked").isNull(), "isolated").otherwise("connected"), F.when(F.col("near") == 1, "has_labelled_neighbour").otherwise("no_labelled_neighbour"), F.lit("all"))
     return x.withColumn("slice", F.explode(s)).groupBy("slice").agg(F.count("*").alias("n"), F.round(F.avg("ok"), 4).alias("accuracy"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.operators import graph as g
-from orrery.session import cut_lineage, written
+from orrery.session import cut_lineage, released, written
 from orrery.tables import table
 
 
@@ -18,6 +18,8 @@ def parts(s, d):
     if key not in _BUILT:
         e, n = g.from_parts(table(s, d, "lineitem"), table(s, d, "part"))
         _BUILT[key] = written(e, "src"), written(n, "node")
+        del e, n
+        released(s)
     return _BUILT[key]
 
 
@@ -27,6 +29,7 @@ def smoothed(s, d):
     if key not in _BUILT:
         e, n = parts(s, d)
         _BUILT[key] = written(g.correct_and_smooth(e, n, g.uniform_prior(n)))
+        released(s)
     return _BUILT[key]
 
 

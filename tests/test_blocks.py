@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from orrery.operators import graph
 from orrery.session import shared_folder
@@ -51,3 +52,18 @@ def test_disk_does_not_grow_with_the_steps(spark):
         graph.correct_and_smooth(e, n, graph.uniform_prior(n), n1=steps, n2=steps, ends=100).count()
         size.append(sum(v for k, v in kept(spark).items() if k not in before))
     assert size[0] == size[1] > 0
+
+
+def test_slices_shuffle_edges_once(spark):
+    """By one join and one sum over the edges' ends, with no distinct of them; the rows as before."""
+    e, n, a, *_ = example(spark)
+    pred = n.select("node", (F.col("node") % 3).cast("int").alias("pred"))
+    x = graph.slices(pred, n.unionByName(spark.createDataFrame([(70_001, 1, "test")], n.schema)), e)
+    got = {r["slice"]: r["n"] for r in x.collect()}
+    test = np.arange(200) % 5 == 0
+    near = ((a > 0) & ~np.eye(200, dtype=bool))[:, ~test].any(axis=1)
+    assert got.get("isolated", 0) == 0 and got["all"] == test.sum() and got["has_labelled_neighbour"] == (near & test).sum()
+    got = {r["slice"]: r["n"] for r in graph.slices(pred.unionByName(spark.createDataFrame([(70_001, 1)], pred.schema)), n.unionByName(spark.createDataFrame([(70_001, 1, "test")], n.schema)), e).collect()}
+    assert got["isolated"] == 1 and got["all"] == test.sum() + 1
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 7  # 9 when the ends were read for the degrees and again for the neighbours
