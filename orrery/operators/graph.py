@@ -19,11 +19,14 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return e.union(e.select("dst", "src")).distinct()
 
 
-def from_parts(lineitem: DataFrame, part: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, nodes): each part bought in an order is linked with the order's next one, so an order gives as many links as parts; label is the brand's number; a fifth of
-    the nodes, by md5, is the test split."""
-    x = lineitem.where("l_orderkey is not null and l_partkey is not null").select("l_orderkey", "l_partkey").distinct()
-    e = x.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_partkey")).alias("dst")).where("dst is not null").distinct()
+def from_parts(lineitem: DataFrame, part: DataFrame, pairs: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes): with `pairs` any two distinct parts bought in one order are linked; without, each is linked with the order's next one only. Label is the brand's
+    number; a fifth of the nodes, by md5, is the test split."""
+    x = lineitem.where("l_orderkey is not null and l_partkey is not null").select("l_orderkey", "l_partkey").repartition("l_orderkey").distinct()  # one shuffle, by order
+    if pairs:
+        e = x.select("l_orderkey", F.col("l_partkey").alias("src")).join(x.select("l_orderkey", F.col("l_partkey").alias("dst")), "l_orderkey").where("src < dst").select("src", "dst").distinct()
+    else:
+        e = x.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_partkey")).alias("dst")).where("dst is not null").distinct()
     h = F.conv(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 8), 16, 10).cast("bigint") % 5
     n = part.select(F.col("p_partkey").alias("node"), (F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") % 5).alias("label"), F.when(h == 0, "test").otherwise("train").alias("split"))
     return e, n

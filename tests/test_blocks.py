@@ -67,3 +67,21 @@ def test_slices_shuffle_edges_once(spark):
     assert got["isolated"] == 1 and got["all"] == test.sum() + 1
     plan = x._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 7  # 9 when the ends were read for the degrees and again for the neighbours
+
+
+def test_accuracy_links_all_parts_of_an_order(spark, tmp_path):
+    import duckdb
+
+    from orrery.plans import c3_graph
+
+    rng = np.random.default_rng(2)
+    orders = [(int(o), int(p)) for o, p in rng.integers(0, 40, (160, 2))] + [(1, 7), (1, 7), (None, 3), (2, None)]
+    spark.createDataFrame(orders, "l_orderkey long, l_partkey long").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(i, f"Brand#{i % 3 + 11}") for i in range(40)], "p_partkey long, p_brand string").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    want = {(p, q) for o, p in orders for k, q in orders if None not in (o, p, q) and o == k and p < q}
+    assert {tuple(r) for r in c3_graph.parts(spark, str(tmp_path), pairs=True)[0].collect()} == want and c3_graph.parts(spark, str(tmp_path))[0].count() < len(want)
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    for name in ("c3_accuracy", "c3_predictions"):
+        assert sorted(tuple(r) for r in c3_graph.QUERIES[name](spark, str(tmp_path)).collect()) == sorted(con.execute(c3_graph.ORACLE[name]).fetchall())
