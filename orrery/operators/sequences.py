@@ -121,10 +121,9 @@ def majority_chains(h: DataFrame, gap: int = 5, least: int = 3) -> DataFrame:
 
 def complete(df: DataFrame, by: list[str], pos: str, value: str) -> DataFrame:
     """Missing values between two anchors whose difference is their distance are filled."""
-    w = W.partitionBy(*by).orderBy(pos)
-    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    back, ahead = (W.partitionBy(*by).orderBy(o).rowsBetween(W.unboundedPreceding, 0) for o in (F.asc(pos), F.desc(pos)))  # both grow row by row; a frame to the last row is read anew for each row
     pv, pp = F.last(value, ignorenulls=True).over(back), F.last(F.when(F.col(value).isNotNull(), F.col(pos)), ignorenulls=True).over(back)
-    nv, np_ = F.first(value, ignorenulls=True).over(ahead), F.first(F.when(F.col(value).isNotNull(), F.col(pos)), ignorenulls=True).over(ahead)
+    nv, np_ = F.last(value, ignorenulls=True).over(ahead), F.last(F.when(F.col(value).isNotNull(), F.col(pos)), ignorenulls=True).over(ahead)
     fits = (nv - pv) == (np_ - pp)
     return df.withColumn("filled", F.coalesce(F.col(value), F.when(fits, pv + F.col(pos) - pp)))
 
