@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.operators import graph as g
-from orrery.session import cut_lineage, released, written
+from orrery.session import released, written
 from orrery.tables import table
 
 
@@ -50,7 +50,10 @@ def accuracy(pred, nodes):
 def stages(s, d):
     """Accuracy of the feature backbone on the test split, alone and with its probabilities corrected and smoothed."""
     e, n = parts(s, d)
-    prior = cut_lineage(g.backbone(features(s, d, n), ["degree", "size", "price"]))
+    x = written(features(s, d, n))  # the fit reads them again and again
+    released(s)
+    prior = written(g.backbone(x, ["degree", "size", "price"]))
+    released(s)
     alone = accuracy(g.predicted(prior), n).withColumn("stage", F.lit("backbone"))
     both = accuracy(g.predicted(g.correct_and_smooth(e, n, prior)), n).withColumn("stage", F.lit("backbone+cs"))
     return alone.unionByName(both)

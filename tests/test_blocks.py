@@ -85,3 +85,16 @@ def test_accuracy_links_all_parts_of_an_order(spark, tmp_path):
         con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     for name in ("c3_accuracy", "c3_predictions"):
         assert sorted(tuple(r) for r in c3_graph.QUERIES[name](spark, str(tmp_path)).collect()) == sorted(con.execute(c3_graph.ORACLE[name]).fetchall())
+
+
+def test_backbone_stages_make_the_features_once(spark, monkeypatch, tmp_path):
+    """The fit and the predictions read them from a table, so the edges are counted into degrees once."""
+    from orrery.plans import c3_graph
+
+    rng = np.random.default_rng(3)
+    spark.createDataFrame([(int(o), int(p)) for o, p in rng.integers(0, 60, (200, 2))], "l_orderkey long, l_partkey long").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(i, f"Brand#{i % 3 + 11}", i % 3, float(i)) for i in range(60)], "p_partkey long, p_brand string, p_size int, p_retailprice double").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    plans, fit = [], graph.backbone
+    monkeypatch.setattr(graph, "backbone", lambda x, columns: plans.append(x._jdf.queryExecution().optimizedPlan().toString()) or fit(x, columns))
+    got = {r["stage"]: r["n"] for r in c3_graph.stages(spark, str(tmp_path)).collect()}
+    assert got["backbone"] == got["backbone+cs"] > 0 and len(plans) == 1 and "Join" not in plans[0] and "Aggregate" not in plans[0]
